@@ -12,7 +12,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 #: A table whose files take at most this many bytes may be broadcast after its size was measured.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def build_session(master: str = "local[*]", app: str = "rosterlake", **conf: str) -> SparkSession:
