@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES = ()
+from rosterlake.operators import packed
+
+_MODULES = (packed,)
 
 
 def queries() -> dict:
