@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: A table whose files take at most this many bytes may be broadcast after its size was measured.
 BROADCAST_BYTES = 2 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", app: str = "rosterlake", **conf: str) -> SparkSession:
     """A session with the defaults this library is tested with (UTC, AQE on, ANSI left on)."""
@@ -65,7 +67,13 @@ def materialise(df: DataFrame, label: str = "t", codec: str = "zstd") -> DataFra
     and shared POSIX folders) or, elsewhere, with the folder itself."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).mode("errorifexists").parquet(path)
+    # shuffle files of the finished write serve nobody: let Spark delete them at once
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     parsed = urlparse(path)
