@@ -32,6 +32,8 @@ BANDS, ROWS = 64, 8
 #: of equal bits is 108.8 with a standard deviation of 4.04.
 SKETCH_BITS, SKETCH_LEAST = 128, 94
 STAR = 48
+#: Words are 48-bit hashes: two words of one pair of texts collide with a probability below 1e-10.
+WORD_BITS = 2**48 - 1
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -87,20 +89,21 @@ def words_of(col: str) -> Column:
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(membership ``id, node``; nodes ``node, ws`` with the sorted 64-bit hashes of distinct words).
+    """(membership ``id, node``; nodes ``node, ws`` with the sorted hashes of distinct words).
 
     A node is the least id of the rows with the same word set, which two 64-bit hashes identify."""
     toks = df.select(F.col(id_col).alias("id"), words_of(text_col).alias("w")).where(F.size("w") >= min_words)
-    sets = toks.select("id", F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))).alias("ws"))
+    sets = toks.select("id", F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD_BITS)))).alias("ws"))
     sets = materialise(sets.select("id", "ws", F.xxhash64("ws").alias("k1"), F.expr("xxhash64(ws, 7)").alias("k2")), "p4w")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("n")), "p4l")
     member = materialise(skewless_lookup(sets.select("id", "k1", "k2"), least, ["k1", "k2"], "n").select("id", "node"), "p4m")
-    nodes = sets.join(least.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "ws")
-    return member, materialise(nodes, "p4n")
+    nodes = materialise(sets.join(least.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "ws"), "p4n")
+    drop_work(sets, least)
+    return member, nodes
 
 
-def band_rows(nodes: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(``node, keys`` with one 64-bit key per band; ``node, s0, s1, n`` sketch bits and set size)."""
+def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``node, keys, s0, s1, n``: one key per band, the sketch bits and the set size; materialised."""
     m = bands * rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,29 +119,65 @@ def band_rows(nodes: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataF
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + raw[:, r::rows])
-                    keys = _mix(keys + np.arange(bands, dtype=np.uint64) * _M2)
+                    # the band and 40 bits of hash; a false meeting is verified away
+                    keys = keys >> np.uint64(24) | np.arange(bands, dtype=np.uint64) << np.uint64(40)
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "keys": list(keys.view(np.int64)), "s0": bits[:, 0], "s1": bits[:, 1], "n": sizes})
 
     kind = nodes.schema["node"].dataType.simpleString()
-    out = materialise(nodes.mapInPandas(run, f"node {kind}, keys array<bigint>, s0 bigint, s1 bigint, n bigint"), "p4s")
-    return out.select("node", "keys"), out.select("node", "s0", "s1", "n")
-
-
-def bucket_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs ``a < b``, rows ``key, node`` of the buckets above STAR)."""
-    flat = keyed.select(F.explode("keys").alias("key"), "node")
-    sized = materialise(flat.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "p4k")
-    pairs2 = sized.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = sized.where("n > 2")
-    if more.isEmpty():
-        return pairs2.distinct(), None
-    # n twice: the lookup drops the one that weighs its keys
-    side = materialise(more.select("key", "n", "low", F.col("n").alias("weight")), "p4x")
-    rows = materialise(skewless_lookup(flat, side, ["key"], "weight").select("key", "n", "low", "node"), "p4y")
-    small = rows.where(f"n <= {STAR}").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("g"))  # at most STAR each
-    inner = small.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.slice("g", F.col("i") + 2, F.lit(STAR))).alias("b"))
-    star = rows.where(f"n > {STAR} AND node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    return pairs2.unionByName(inner).unionByName(star).distinct(), rows.where(f"n > {STAR}").select("key", "node")
+    return materialise(nodes.mapInPandas(run, f"node {kind}, keys array<bigint>, s0 bigint, s1 bigint, n bigint"), "p4s")
+
+
+def bucket_pairs(keyed: DataFrame) -> DataFrame:
+    """Candidates ``a < b`` and, with ``b`` null, one row ``key, a`` per node of each large bucket.
+
+    One shuffle: rows sorted by key stream through each task, which holds one bucket's first STAR
+    nodes at most, so a bucket of any size passes in bounded memory."""
+    flat = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry_key, carry = None, np.empty(0, np.int64)  # first nodes of the bucket that goes on
+        carried = 0
+        for pdf in batches:
+            key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
+            if carry_key is not None and key[0] == carry_key:
+                # of a long bucket only its first node matters to later ones
+                key = np.concatenate([np.full(len(carry), carry_key), key])
+                node = np.concatenate([carry, node])
+                seen = carried
+            else:
+                seen = 0
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            a, b, k = [], [], []
+            first_new = len(carry) if seen else 0
+            two = (sizes == 2)
+            if seen:
+                two[0] = False
+            at = starts[two]
+            a.append(node[at]), b.append(node[at + 1]), k.append(key[at])
+            for s, n in zip(starts[(sizes > 2) | (np.arange(len(sizes)) == 0) & (sizes > 1)].tolist(), sizes[(sizes > 2) | (np.arange(len(sizes)) == 0) & (sizes > 1)].tolist()):
+                if n == 2 and not (seen and s == 0):
+                    continue
+                group = node[s:s + n]
+                done = first_new if s == 0 else 0  # pairs among carried nodes are out already
+                total = seen + n - done if s == 0 else n
+                x, y = np.triu_indices(min(n, STAR), 1)
+                fresh = y >= done
+                a.append(group[x[fresh]]), b.append(group[y[fresh]]), k.append(np.full(int(fresh.sum()), key[s]))
+                if total > STAR:
+                    late = np.arange(max(min(n, STAR), done), n)
+                    a.append(np.full(len(late), group[0])), b.append(group[late]), k.append(np.full(len(late), key[s]))
+                    # the members themselves, for the pass across components
+                    mem = group[done:] if seen > STAR and s == 0 else group
+                    a.append(mem), b.append(np.full(len(mem), -1)), k.append(np.full(len(mem), key[s]))
+            last, n_last = starts[-1], sizes[-1]
+            carried = (seen + n_last - first_new) if (last == 0 and seen) else n_last
+            carry_key, carry = key[-1], node[last:last + min(n_last, STAR)]
+            out = pd.DataFrame({"key": np.concatenate(k), "a": np.concatenate(a), "b": np.concatenate(b)})
+            yield out
+
+    kind = keyed.schema["node"].dataType.simpleString()
+    return flat.mapInPandas(run, f"key bigint, a {kind}, b {kind}")
 
 
 def verify(pairs: DataFrame, sketch: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -155,16 +194,19 @@ def verify(pairs: DataFrame, sketch: DataFrame, nodes: DataFrame, threshold: flo
 def near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``id, root`` of every row that has a partner: root is the least id of its group."""
     member, nodes = word_sets(df, id_col, text_col, min_words)
-    keyed, sketch = band_rows(nodes, bands, rows)
-    pairs, hot = bucket_pairs(keyed)
-    links = materialise(verify(pairs, sketch, nodes, threshold), "p4v")
+    keyed = band_rows(nodes, bands, rows)
+    found = materialise(bucket_pairs(keyed.select("node", "keys")), "p4b")
+    sketch = materialise(keyed.select("node", "s0", "s1", "n"), "p4k")
+    drop_work(keyed)
+    hot = found.where("b = -1").select("key", F.col("a").alias("node"))
+    links = materialise(verify(found.where("b <> -1").select("a", "b").distinct(), sketch, nodes, threshold), "p4v")
     roots = materialise(components(links), "p4c")
-    if hot is not None and not hot.isEmpty():
+    if not hot.isEmpty():
         # pairs of one large bucket that are not yet of one component
         tagged = materialise(hot.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "p4h")
         mixed = tagged.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         tagged = tagged.join(mixed, "key", "left_semi")
-        left, right = tagged.toDF("key", "a", "ra"), tagged.toDF("key", "b", "rb")
+        left, right = tagged.select("key", "node", "root").toDF("key", "a", "ra"), tagged.select("key", "node", "root").toDF("key", "b", "rb")
         across = left.join(right, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialise(links.unionByName(verify(across, sketch, nodes, threshold)), "p4v")
         roots = materialise(components(links), "p4c")
