@@ -47,7 +47,8 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
                 rows = [(xxhash.xxh64_intdigest(k) - 2**63, t, d) for t, d in zip(part["tok"], part["df"]) for k in deletes(t, _most(t))]
                 yield pd.DataFrame(rows, columns=["key", "tok", "df"])
 
-    flat = materialise(tokens.select("tok", "df").mapInPandas(index, "key bigint, tok string, df bigint"), "p3k")
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    flat = materialise(tokens.select("tok", "df").repartition(2 * cores).mapInPandas(index, "key bigint, tok string, df bigint"), "p3k")
     shared = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     flat = flat.join(shared, "key", "left_semi").select("key", "tok", "df")
     pairs = flat.toDF("key", "a", "da").join(flat.toDF("key", "b", "db"), "key").where("a < b AND abs(length(a) - length(b)) <= 2")
