@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from rosterlake.operators import packed
+from rosterlake.plans import q_relational, q_text
 
-_MODULES = (packed,)
+_MODULES = (packed, q_text, q_relational)
 
 
 def queries() -> dict:
