@@ -43,6 +43,8 @@ for _full, _shorts in NICKNAMES.items():
 
 def plain(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
