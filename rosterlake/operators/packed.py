@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from rosterlake.operators.skew import skewless_lookup
 from rosterlake.session import materialise, table
 
-_WORD = r"\p{L}[\p{L}\p{M}'’.\-]*\p{L}"
-_INIT = r"(?:\p{L}\.?){1,3}"
+_WORD = r"\p{L}[\p{L}\p{M}'’\-]*+(?<=[\p{L}\p{M}]{2}|['’\-]\p{L})"
+_INIT = r"(?:(?:\p{L}\.){1,3}\p{L}?|\p{L})"
 _SUFFIX = r"(?:jr|sr|ii|iii|iv)\b\.?"
 _TAIL = rf"(?:\s*,?\s*(?:{_SUFFIX}|\(ret\.?\)))*(?:\s+-\s+\p{{L}}+)?"
 _TITLE = r"(?:(?:mr|mrs|ms|dr|sgt|lt|capt|cpl|det|dep|ofc|prof|rev|deputy|officer|sergeant|lieutenant|captain|coach)\b\.?\s+)*"
 #: What one value of a type looks like.
 PIECE_TYPES = {
     "path": r"(?i)(?!.*\.(?:jpe?g|png|webp|gif|svg|avif|bmp|tiff?|pdf)\s*,)[^|;\r\n]*\.(?:jpe?g|png|webp|gif|svg|avif|bmp|tiff?|pdf)(?:\?[^\s,|;]*)?",
-    "person": rf"(?i)(?![^|;\r\n]*[|;\r\n]){_TITLE}(?!.*\s(?:and|&)\s)(?:(?:(?:{_WORD}|{_INIT})\s+)+{_WORD}|{_WORD},\s*(?:{_WORD}|{_INIT})(?:\s+{_INIT})*){_TAIL}",
+    "person": rf"(?i)(?=[^|;\r\n]{{1,120}}$){_TITLE}(?!.*\s(?:and|&)\s)(?:(?:(?:{_WORD}|{_INIT})\s+){{1,5}}{_WORD}|{_WORD},\s*(?:{_WORD}|{_INIT})(?:\s+{_INIT}){{0,3}}){_TAIL}",
     "place": r"(?i)(?!.*[\r\n]|.*\b(?:and)\b)\p{L}[\p{L}\p{M}'’.]*(?:[ \-][\p{L}\p{M}'’.]+){0,5}",
     "text": r"[^|;\r\n]+",
 }
@@ -38,7 +38,6 @@ DELIMITERS = (
 )
 # A comma that ends one path and starts the next, as a path may hold commas itself
 _PATH_COMMA = r"(?i)(?<=\.(?:jpe?g|png|webp|gif|svg|avif|bmp|tiff?|pdf))\s*,\s*"
-_QUOTED = r'\s*"[^"]*"\s*(?:[,;|/\r\n]+\s*"[^"]*"\s*)+'
 
 
 def _trim(c: Column) -> Column:
@@ -71,7 +70,9 @@ def candidates(value: Column, kind: str) -> Column:
             pattern = _PATH_COMMA if name == "comma" else pattern
         split.append(F.struct(F.lit(no).alias("no"), _pieces(body, pattern).alias("pieces")))
     whole = F.array(F.struct(F.lit(-1).alias("no"), quoted.alias("pieces")))
-    arr = F.when(body.rlike(f"^(?:{_QUOTED})$"), whole).otherwise(F.array(*split))
+    # nothing but quoted pieces and separators, with two pieces at least
+    listed = F.regexp_replace(body, r'"[^"]*"', "").rlike(r"^[\s,;|/]*$") & (F.size(quoted) > 1)
+    arr = F.when(listed, whole).otherwise(F.array(*split))
     return F.transform(arr, lambda x: F.struct(x["no"].alias("no"), x["pieces"].alias("pieces"), share(x["pieces"]).alias("fit")))
 
 
