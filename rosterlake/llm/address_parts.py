@@ -36,24 +36,33 @@ _NUMBER = re.compile(r"(?:^|(?<=[\s;]))(\d{1,6})(?=\s+[a-z0-9])")
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
-    """Edit distance with adjacent transpositions; anything above ``most`` is ``most + 1``."""
+    """Edit distance with adjacent transpositions; anything above ``most`` is ``most + 1``.
+
+    Only the band of ``most`` cells around the diagonal is computed, so long texts cost O(n)."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    n, m = len(a), len(b)
+    # an edit brings in one new letter at most
+    if abs(n - m) > most or len(set(a) - set(b)) > most:
         return most + 1
-    p2: list[int] = []
-    p1 = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            v = min(p1[j] + 1, row[j - 1] + 1, p1[j - 1] + (x != y))
+    far = most + 1
+    p2: dict[int, int] = {}
+    p1 = {j: j for j in range(min(m, most) + 1)}
+    for i in range(1, n + 1):
+        x, row = a[i - 1], {}
+        lo, hi = max(0, i - most), min(m, i + most)
+        if lo == 0:
+            row[0] = i
+        for j in range(max(1, lo), hi + 1):
+            y = b[j - 1]
+            v = min(p1.get(j, far) + 1, row.get(j - 1, far) + 1, p1.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, p2[j - 2] + 1)
+                v = min(v, p2.get(j - 2, far) + 1)
             row[j] = v
-        if min(row) > most:
-            return most + 1
+        if min(row.values()) > most:
+            return far
         p2, p1 = p1, row
-    return min(p1[-1], most + 1)
+    return min(p1.get(m, far), far)
 
 
 @lru_cache(maxsize=100_000)
@@ -144,9 +153,9 @@ def parse(address: str | None, row_cities: tuple[str, ...] = ()) -> tuple | None
         # no type: the name ends before a known city, at a direction, or with the segment if a city stands elsewhere
         cut = next((i for i, t in enumerate(toks) if i and t in DIRECTIONS), None)
         if cut is None:
-            cut = next((i for i in range(1, len(toks)) if city_key(" ".join(toks[i:])) in row_cities), None)
+            cut = next((i for i in range(max(1, len(toks) - 6), len(toks)) if city_key(" ".join(toks[i:])) in row_cities), None)
         if cut is None:
-            cut = next((i for i in range(1, len(toks)) if any(near_city(city_key(" ".join(toks[i:])), c) for c in row_cities)), None)
+            cut = next((i for i in range(max(1, len(toks) - 6), len(toks)) if any(near_city(city_key(" ".join(toks[i:])), c) for c in row_cities)), None)
         if cut is None:
             elsewhere = len(segs) > 1 or any(x.strip() and not _VENUE.search(x) for x in head.split(";"))
             cut = len(toks) if elsewhere else 1

@@ -103,9 +103,23 @@ def person_cost(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
     return float("inf") if d > most else d + (0.5 if kind == "initial" else 0.0)
 
 
+#: Longer tokens are indexed by segments: their deletion neighbourhoods would grow with the square of the length.
+LONGEST_DELETES = 32
+
+
 def deletes(token: str, most: int) -> set[str]:
-    """The token and what is left after up to ``most`` deletions (the symmetric-delete keys)."""
+    """Keys that two tokens within ``most`` edits share: what is left after up to ``most`` deletions; for
+    long tokens the segments of which one at least survives ``most`` edits, at every shift they allow."""
     out = {token}
+    if len(token) > LONGEST_DELETES - most:
+        parts = 2 * most + 1  # a transposition touches two neighbouring letters
+        for n in range(len(token) - most, len(token) + most + 1):
+            size = n // parts
+            for k in range(parts):
+                for at in range(max(0, k * size - most), min(len(token) - size, k * size + most) + 1):
+                    out.add(f"{n}:{k}:{token[at:at + size]}")
+        if len(token) > LONGEST_DELETES + most:
+            return out
     for k in range(1, most + 1):
         out |= {"".join(c for i, c in enumerate(token) if i not in gone) for gone in combinations(range(len(token)), k)}
     return out

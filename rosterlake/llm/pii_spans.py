@@ -20,7 +20,7 @@ TITLE_WORDS = set(TITLES) | {"instructor", "instructora", "sheriff", "sr", "sra"
 
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
-EMAIL = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9_%+\-]|\.(?=[A-Za-z0-9]))*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+|[a-z0-9][a-z0-9._+\-]*\sat\s[a-z0-9\-]+(?:\sdot\s[a-z0-9\-]+)+", re.I)
+EMAIL = re.compile(rf"(?<![A-Za-z0-9_%+\-])[A-Za-z0-9](?:[A-Za-z0-9_%+\-]|\.(?=[A-Za-z0-9]))*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+|(?<![a-z0-9._+\-])[a-z0-9][a-z0-9._+\-]*\sat\s[a-z0-9\-]+(?:\sdot\s[a-z0-9\-]+)+", re.I)
 PHONE = re.compile(r"(?<![\w/.\-–$])(?<!\d\s)(?:\+?1[\s.\-–]?)?(?:\(\d{3}\)\s?|\d{3}[\s.\-–/])\d{3}[\s.\-–/]\d{4}(?![\w\-–/])|(?<![\w/.\-–$])(?:\+?1[\s.\-–]?)?(?:\(\d{3}\)\s?)?\d{7,10}(?![\w\-–/])|(?<![\w/.\-–$])\+1\d{10}(?!\w)")
 ID = re.compile(r"(?<![\w/\-–$.])(?:\d{3}[\-. –]\d{2}[\-. –]\d{4}|\d{9}|[A-Z][ \-]?\d{7,8}|[A-Z]{2,4}[ \-]?(?:\d{2,4}-)?\d{4,6}(?:-\d{2,6})?|\d{4}-\d{4,6}|\d{2}/\d{6}|\d{6})(?![\w\-–/])")
 
