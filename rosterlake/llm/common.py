@@ -19,8 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     cur = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
-    state = None
-    for _ in range(max_rounds):
+    state = cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+    for _ in range(max_rounds if state[0] else 0):
         # large star: strictly larger neighbours of each node attach to the node's least neighbour
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -55,6 +55,7 @@ def parse_person(text: str | None) -> tuple[str, str, str] | None:
     s = plain(text)
     s = re.sub(r"\(ret\.?\)|\s-\s+\w+\b", " ", s)
     s = re.sub(rf",?\s*\b(?:{'|'.join(SUFFIXES)})\b\.?", " ", s)
+    s = re.sub(rf"^\s*(?:(?:{'|'.join(TITLES)})\b\.?\s+)+", "", s)
     inverted = re.match(r"^\s*([^\W\d_][\w'’\-]+)\s*,\s*(\S.*)$", s)
     if inverted:
         s = f"{inverted.group(2)} {inverted.group(1)}"

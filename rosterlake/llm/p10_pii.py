@@ -190,7 +190,7 @@ def lexicon(docs: DataFrame, text_col: str) -> tuple[set[str], set[str]]:
 
     counts = materialise(docs.select(F.col(text_col).alias("t")).mapInPandas(run, "k string, w string, n bigint").groupBy("k", "w").agg(F.sum("n").alias("n")), "p10l")
     total = counts.where("k = 'docs'").agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("k") == "cap").where(F.col("n") > max(3, COMMON_SHARE * total)).select("w")
+    common = counts.where(F.col("k") == "cap").where(F.col("n") > max(10, COMMON_SHARE * total)).select("w")
     stems = counts.where("k = 'stem' AND n >= 3").orderBy(F.desc("n"), "w").limit(MOST_STEMS).select("w")
     s = {r.w for r in stems.collect()}
     return s, {r.w for r in common.collect()} - s
