@@ -42,16 +42,16 @@ def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group mean and upper median (element n // 2 of the sorted values), by rank from counts of
     distinct values, so no group is gathered."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
     w = W.partitionBy(*keys).orderBy(value)
-    run = c.withColumn("hi", F.sum("k").over(w)).withColumn("n", F.sum("k").over(W.partitionBy(*keys)))
-    return run.groupBy(*keys).agg(F.min(F.when(F.col("hi") > F.floor(F.col("n") / 2), F.col(value))).alias("upper_median"), (F.sum(F.col(value) * F.col("k")) / F.max("n")).alias("mean"), F.max("n").alias("n"))
+    run = c.withColumn("_hi", F.sum("_k").over(w)).withColumn("_n", F.sum("_k").over(W.partitionBy(*keys)))
+    return run.groupBy(*keys).agg(F.min(F.when(F.col("_hi") > F.floor(F.col("_n") / 2), F.col(value))).alias("upper_median"), (F.sum(F.col(value) * F.col("_k")) / F.max("_n")).alias("mean"), F.max("_n").alias("n"))
 
 
 def mode_first_seen(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     """The most frequent value per group, the first seen on ties."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"), F.min(seq).alias("s"))
-    return c.groupBy(*keys).agg(F.max(F.struct("k", (-F.col("s")).alias("s"), value)).alias("b")).select(*keys, F.col(f"b.{value}").alias("mode"), F.col("b.k").alias("n"))
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"), F.min(seq).alias("_s"))
+    return c.groupBy(*keys).agg(F.max(F.struct("_k", (-F.col("_s")).alias("_s"), value)).alias("_b")).select(*keys, F.col(f"_b.{value}").alias("mode"), F.col("_b._k").alias("n"))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
