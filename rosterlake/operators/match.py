@@ -23,11 +23,14 @@ def tiered_match(left: DataFrame, right: DataFrame, block: str, name: str, host:
     ``ambiguous_prefix`` or ``ambiguous_domain``. Nulls match nothing."""
     l = left.select(F.col("id").alias("l"), F.col(block).alias("blk"), F.col(name).alias("ln"), F.col(host).alias("lh"))  # noqa: E741
     r = right.select(F.col("id").alias("r"), F.col(block).alias("blk"), F.col(name).alias("rn"), F.col(host).alias("rh"))
-    exact = l.join(r, (l.blk == r.blk) & (l.ln == r.rn)).select("l", "r", F.lit(1).alias("tier"))
+    # the right side is aggregated per key first, so a key that many rows share never multiplies pairs
+    per_key = lambda d, k: d.where(F.col(k).isNotNull() & F.col("blk").isNotNull()).groupBy("blk", k).agg(F.count_distinct("r").alias("n"), F.min("r").alias("r"))
     starts = r.select("r", "blk", F.explode(word_prefixes(F.col("rn"))).alias("ln"))
-    prefix = l.join(starts, ["blk", "ln"]).select("l", "r", F.lit(2).alias("tier"))
-    domain = l.join(r, (l.blk == r.blk) & (l.lh == r.rh)).select("l", "r", F.lit(3).alias("tier"))
-    per = exact.unionByName(prefix).unionByName(domain).groupBy("l", "tier").agg(F.count_distinct("r").alias("n"), F.min("r").alias("r"))
+    tiers = [(per_key(r, "rn").withColumnRenamed("rn", "ln"), "ln"), (per_key(starts, "ln"), "ln"), (per_key(r, "rh").withColumnRenamed("rh", "lh"), "lh")]
+    per = None
+    for no, (side, k) in enumerate(tiers, 1):
+        one = l.select("l", "blk", k).join(side, ["blk", k]).select("l", F.lit(no).alias("tier"), "n", "r")
+        per = one if per is None else per.unionByName(one)
     best = per.groupBy("l").agg(F.min(F.struct("tier", "n", "r")).alias("b"))
     out = l.select("l").join(best, "l", "left")
     why = F.when(F.col("b").isNull(), "no_match").when(F.col("b.n") == 1, F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("domain")), F.col("b.tier")))

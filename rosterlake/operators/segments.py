@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from rosterlake.functions.text import strip_ws
 
@@ -60,3 +61,13 @@ def header_words(text: Column) -> Column:
 
 
 SCHEMA_LINES = T.StructType([T.StructField("row_index", T.IntegerType()), T.StructField("raw_text", T.StringType())])
+
+
+def running_total(df: DataFrame, key: str, order: str, value: Column, name: str, chunk: int = 50_000) -> DataFrame:
+    """Running sum of ``value`` per key in the order of an integer column, spread over chunks of it: a key
+    that holds a third of all rows is many tasks, and only one row per chunk is summed in sequence."""
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_v", value)
+    parts = rows.groupBy(key, "_chunk").agg(F.sum("_v").alias("_s"))
+    before = parts.withColumn("_before", F.sum("_s").over(W.partitionBy(key).orderBy("_chunk")) - F.col("_s")).drop("_s")
+    local = rows.withColumn("_local", F.sum("_v").over(W.partitionBy(key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return local.join(before, [key, "_chunk"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_chunk", "_v", "_local", "_before")

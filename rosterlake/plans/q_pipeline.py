@@ -36,8 +36,7 @@ def block_segments(spark, d):
     Lines of a source form one ordered text; a running count of headers numbers the blocks."""
     t = table(spark, d, "county_source_records").where("raw_text IS NOT NULL AND county_source_id IS NOT NULL").withColumn("line", X.strip_ws(F.col("raw_text"))).where("line <> ''")
     h = t.where(~segments.is_footer(F.col("line"))).withColumn("opens", F.length(F.regexp_extract("line", r"^(\S+ \S+ \S+)", 1)) > 20)
-    w = W.partitionBy("county_source_id").orderBy("record_id").rowsBetween(W.unboundedPreceding, 0)
-    b = h.withColumn("block", F.sum(F.col("opens").cast("int")).over(w)).where("block > 0")
+    b = segments.running_total(h, "county_source_id", "record_id", F.col("opens").cast("int"), "block").where("block > 0")
     return b.groupBy("county_source_id", "block").agg(F.count("*").alias("lines"), F.min("record_id").alias("first_record"), F.sum(F.length("line")).alias("chars"))
 
 

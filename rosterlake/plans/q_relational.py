@@ -9,6 +9,7 @@ from rosterlake.functions import contacts as C
 from rosterlake.functions import scoring as S
 from rosterlake.functions import text as X
 from rosterlake.operators import dedupe, match, merge, quality, report
+from rosterlake.plans.q_text import BLOCKED as PORTALS
 from rosterlake.session import table
 
 
@@ -123,7 +124,7 @@ def domain_best_source(spark, d):
 
 def candidate_rank_margin(spark, d):
     """Place rows of one county and e-mail domain as candidates of a listing, ranked by agreement."""
-    m = table(spark, d, "marin").select("listing_id", C.phone_digits(F.col("phone")).alias("p"), C.host(F.col("website_url")).alias("host"), X.listing_key(F.col("vendor_name")).alias("n")).where("host IS NOT NULL")
+    m = table(spark, d, "marin").select("listing_id", C.phone_digits(F.col("phone")).alias("p"), C.host(F.col("website_url")).alias("host"), X.listing_key(F.col("vendor_name")).alias("n")).where("host IS NOT NULL").where(~F.col("host").isin(*PORTALS))
     v = table(spark, d, "vendors_placeid_smoke_out").select("row_id", C.phone_digits(F.col("phone")).alias("vp"), C.host(F.col("website_url")).alias("host"), X.listing_key(F.col("vendor_name")).alias("vn")).where("host IS NOT NULL")
     j = m.join(v, "host")
     score = F.lit(25.0) + F.when(F.coalesce(F.col("p") == F.col("vp"), F.lit(False)), 45.0).otherwise(0.0) + F.when(F.col("n") == F.col("vn"), 25.0).otherwise(0.0)
@@ -131,15 +132,20 @@ def candidate_rank_margin(spark, d):
     return ranked.where("rank <= 5").withColumn("band", S.band(F.col("score"), [(80, "high"), (58, "medium"), (35, "low")], "none"))
 
 
+def _representatives(v, col):
+    """The first row of each place: others are compared with it, never all with all."""
+    return v.groupBy("google_place_id").agg(F.min(F.struct("row_id", col)).alias("b")).select("google_place_id", "b.row_id", f"b.{col}")
+
+
 def token_overlap(spark, d):
     v = table(spark, d, "vendors_placeid_smoke_out").select("google_place_id", "row_id", F.split(X.merge_key_hard(F.col("vendor_name")), " ").alias("t")).where("google_place_id <> ''")
-    a, b = v.toDF("google_place_id", "row_a", "ta"), v.toDF("google_place_id", "row_b", "tb")
+    a, b = _representatives(v, "t").toDF("google_place_id", "row_a", "ta"), v.toDF("google_place_id", "row_b", "tb")
     return a.join(b, "google_place_id").where("row_a < row_b").select("row_a", "row_b", F.round(S.token_overlap(F.col("ta"), F.col("tb")), 6).alias("overlap"))
 
 
 def slug_similarity(spark, d):
     v = table(spark, d, "vendors_placeid_smoke_out").select("google_place_id", "row_id", X.slugify(F.col("vendor_name")).alias("s")).where("google_place_id <> ''")
-    a, b = v.toDF("google_place_id", "row_a", "sa"), v.toDF("google_place_id", "row_b", "sb")
+    a, b = _representatives(v, "s").toDF("google_place_id", "row_a", "sa"), v.toDF("google_place_id", "row_b", "sb")
     return a.join(b, "google_place_id").where("row_a < row_b").select("row_a", "row_b", F.round(S.slug_similarity(F.col("sa"), F.col("sb")), 6).alias("similarity"))
 
 
@@ -344,11 +350,11 @@ SQL = {
         b AS (SELECT * FROM m WHERE host IS NOT NULL QUALIFY row_number() OVER (PARTITION BY host ORDER BY CASE WHEN coalesce(crawl_status, '') = 'success' THEN 0 ELSE 1 END, CASE WHEN price_16hr_full IS NOT NULL THEN 0 ELSE 1 END, listing_id) = 1)
         SELECT row_id, v.host, listing_id, crawl_status FROM v LEFT JOIN b USING (host) WHERE v.host IS NOT NULL""",
     "candidate_rank_margin": f"""WITH m AS (SELECT listing_id, {_DIG.format('phone')} AS p, {_HOST} AS host, {_KEY} AS n FROM marin), v AS (SELECT row_id, {_DIG.format('phone')} AS vp, {_HOST} AS host, {_KEY} AS vn FROM vendors_placeid_smoke_out),
-        j AS (SELECT listing_id, row_id, 25.0 + CASE WHEN coalesce(p = vp, false) THEN 45.0 ELSE 0.0 END + CASE WHEN n = vn THEN 25.0 ELSE 0.0 END AS score FROM m JOIN v USING (host)),
+        j AS (SELECT listing_id, row_id, 25.0 + CASE WHEN coalesce(p = vp, false) THEN 45.0 ELSE 0.0 END + CASE WHEN n = vn THEN 25.0 ELSE 0.0 END AS score FROM m JOIN v USING (host) WHERE host NOT IN ('facepages.example', 'rangebook.example', 'classfinder.example')),
         r AS (SELECT *, row_number() OVER w AS rank, coalesce(score - lead(score) OVER w, 999.0) AS margin FROM j WINDOW w AS (PARTITION BY listing_id ORDER BY score DESC, row_id))
         SELECT *, CASE WHEN score >= 80 THEN 'high' WHEN score >= 58 THEN 'medium' WHEN score >= 35 THEN 'low' ELSE 'none' END AS band FROM r WHERE rank <= 5""",
     "token_overlap": """WITH v AS (SELECT google_place_id AS g, row_id, list_distinct(string_split(trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM vendors_placeid_smoke_out WHERE google_place_id <> '')
-        SELECT a.row_id AS row_a, b.row_id AS row_b, round(100.0 * len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)), 6) AS overlap FROM v a JOIN v b ON a.g = b.g AND a.row_id < b.row_id""",
+        SELECT a.row_id AS row_a, b.row_id AS row_b, round(100.0 * len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)), 6) AS overlap FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY row_id) = 1) a JOIN v b ON a.g = b.g AND a.row_id < b.row_id""",
     "membership_label": """SELECT job_id, run_id, CASE WHEN run_id IN (SELECT run_id FROM enrichment_jobs WHERE job_id % 7 = 0 AND run_id IS NOT NULL) THEN 'indexed' WHEN regexp_matches(run_id, '[a-f0-9]{10}$') THEN 'not_indexed' ELSE 'unknown' END AS label FROM enrichment_jobs""",
     "county_cascade": f"""WITH m AS (SELECT listing_id, county FROM marin), t AS (SELECT m.listing_id, c.county_id, 0 AS step FROM m JOIN counties c ON m.county = c.slug UNION ALL SELECT m.listing_id, c.county_id, 1 FROM m JOIN counties c ON {_SLUG.format('m.county')} = c.slug
           UNION ALL SELECT m.listing_id, c.county_id, 2 FROM m JOIN counties c ON lower({_W.format('m.county')}) = lower(c.county_name)),
