@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from rosterlake.operators import packed
-from rosterlake.plans import q_pipeline, q_relational, q_text
+from rosterlake.plans import q_composite, q_pipeline, q_relational, q_text
 
-_MODULES = (packed, q_text, q_relational, q_pipeline)
+_MODULES = (packed, q_text, q_relational, q_pipeline, q_composite)
 
 
 def queries() -> dict:
