@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,34 @@ def build_session(master: str = "local[*]", app: str = "rosterlake", **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers once, so they need neither the driver's working
+    directory nor its path. Spark serves the archive to the executors itself."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already imported from an archive
+        return
+    folder = tempfile.mkdtemp(prefix="rosterlake-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/rosterlake-src.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -103,4 +130,4 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return stored_bytes(df) <= limit
 
 
-__all__ = ["BROADCAST_BYTES", "build_session", "drop_work", "materialise", "small_enough", "stored_bytes", "table", "work_root"]
+__all__ = ["BROADCAST_BYTES", "build_session", "drop_work", "materialise", "ship_package", "small_enough", "stored_bytes", "table", "work_root"]
