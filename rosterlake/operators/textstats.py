@@ -24,19 +24,28 @@ def top_ngrams(df: DataFrame, text: str, sizes: tuple[int, ...], k: int) -> Data
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf, total``: occurrences of each term and words of its text; one row is one text, so
+    the runs of its sorted words are counted in place, without a shuffle."""
+    words = df.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = words.select("id", "t", F.size("t").alias("total"), starts.alias("s"))
+    counted = F.transform("s", lambda x, i: F.struct(F.get("t", x).alias("term"), (F.coalesce(F.get("s", i + 1), F.col("total")) - x).alias("tf")))
+    return runs.select("id", "total", F.explode(counted).alias("x")).select("id", "x.term", "x.tf", "total")
 
 
 def tfidf(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, term, w``: raw term frequency times ln(N / df); terms in every text weigh 0."""
+    """``id, term, w``: the term's share of its text times ln((N + 1) / (df + 1)) + 1. N counts every
+    text that isn't null, those without words too; a term in every text keeps its share as weight."""
     tc = term_counts(df, id_col, text)
-    n = df.where(F.size(tokens(F.col(text))) > 0).agg(F.count("*").alias("n_docs"))
+    n = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("n_docs"))
     dfs = tc.groupBy("term").agg(F.count("*").alias("df"))
-    return tc.join(dfs, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * F.ln(F.col("n_docs") / F.col("df"))).alias("w"))  # n is one row
+    idf = F.ln((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
+    return tc.join(dfs, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") / F.col("total") * idf).alias("w"))  # n is one row
 
 
-def centroid(weights: DataFrame) -> DataFrame:
-    n = weights.agg(F.count_distinct("id").alias("n"))
+def centroid(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sum of the vectors over the number of texts ``docs``, those without words too."""
+    n = docs.agg(F.count("*").alias("n"))
     return weights.groupBy("term").agg(F.sum("w").alias("s")).crossJoin(F.broadcast(n)).select("term", (F.col("s") / F.col("n")).alias("w"))  # n is one row
 
 

@@ -58,8 +58,8 @@ def tfidf_top(spark, d):
 
 
 def centroid_terms(spark, d):
-    w = textstats.tfidf(table(spark, d, "marin").where("vendor_description IS NOT NULL"), "listing_id", "vendor_description")
-    return textstats.centroid(w).select("term", F.round("w", 6).alias("w"))
+    m = table(spark, d, "marin").where("vendor_description IS NOT NULL")
+    return textstats.centroid(textstats.tfidf(m, "listing_id", "vendor_description"), m).select("term", F.round("w", 6).alias("w"))
 
 
 def nearest_neighbor(spark, d):
