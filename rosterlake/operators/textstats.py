@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rosterlake.functions.text import tokens
+from rosterlake.functions.text import opening_key, sentences, strip_ws, tokens
+from rosterlake.session import drop_work, materialise
+
+#: Texts of one pass of the nearest-neighbour search (broadcast), and of one product of matrices.
+PASS, TILE = 8_000, 1_000
 
 
 def ngrams(toks: Column, n: int) -> Column:
@@ -49,19 +57,88 @@ def centroid(weights: DataFrame, docs: DataFrame) -> DataFrame:
     return weights.groupBy("term").agg(F.sum("w").alias("s")).crossJoin(F.broadcast(n)).select("term", (F.col("s") / F.col("n")).alias("w"))  # n is one row
 
 
-def nearest(weights: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query id the largest max(Jaccard of terms, cosine of weights) to any other text.
-
-    An inverted-index join on terms: pairs that share no term score 0. ``queries`` has ``id``."""
-    sizes = weights.groupBy("id").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = weights.join(queries.select("id"), "id").select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    pairs = q.join(weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), "term").where("a <> b").groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.count("*").alias("common"))
-    s = pairs.join(sizes.toDF("a", "na", "la"), "a").join(sizes.toDF("b", "nb", "lb"), "b")
-    cos = F.when((F.col("la") > 0) & (F.col("lb") > 0), F.col("dot") / (F.col("la") * F.col("lb"))).otherwise(0.0)
-    jac = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    best = s.groupBy("a").agg(F.max(F.greatest(cos, jac)).alias("similarity"))
-    return queries.select(F.col("id").alias("a")).join(best, "a", "left").select(F.col("a").alias("id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+class _Vectors:
+    """Texts as flat arrays: owner, term hash, unit weight; ``n`` terms of each."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.ids, self.n = pdf["id"].to_numpy(), np.fromiter(map(len, pdf["terms"]), np.int64, len(pdf))
+        self.owner, self.starts = np.repeat(np.arange(len(pdf)), self.n), np.append(0, np.cumsum(self.n))
+        self.terms, w = np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["ws"].to_numpy())
+        norm = np.sqrt(np.bincount(self.owner, w * w, minlength=len(pdf)))
+        self.unit = w / norm[self.owner]
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.starts[i]:self.starts[i + 1]], self.unit[self.starts[i]:self.starts[i + 1]]
+
+    def dense(self, cols: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(cols, self.terms), len(cols) - 1)
+        some = cols[at] == self.terms
+        m = np.zeros((len(self.ids), len(cols)), np.float32)
+        m[self.owner[some], at[some]] = self.unit[some]
+        return m
+
+
+def _improve(q: _Vectors, best: np.ndarray, c: _Vectors) -> None:
+    """Raise ``best`` to the nearest of ``c``: products over the terms both sides have; a row's winner is
+    computed again in double precision."""
+    cols = np.intersect1d(q.terms, c.terms)
+    if not len(cols):
+        return
+    x, y = q.dense(cols), c.dense(cols)
+    sim = x @ y.T
+    common = (x > 0).astype(np.float32) @ (y > 0).astype(np.float32).T
+    np.maximum(sim, common / (q.n[:, None] + c.n[None, :] - common), out=sim, casting="same_kind")
+    sim[q.ids[:, None] == c.ids[None, :]] = -1
+    top = sim.argmax(1)
+    for i in np.flatnonzero(sim[np.arange(len(top)), top] > best - 1e-6):
+        (ta, wa), (tb, wb) = q.row(i), c.row(top[i])
+        both, ia, ib = np.intersect1d(ta, tb, return_indices=True)
+        if q.ids[i] != c.ids[top[i]]:
+            best[i] = max(best[i], float(wa[ia] @ wb[ib]), len(both) / (len(ta) + len(tb) - len(both)))
+
+
+def nearest(weights: DataFrame, queries: DataFrame, enough: float = 2.0) -> DataFrame:
+    """For each query id the largest max(Jaccard of terms, cosine of weights) to any other text, 0 without
+    words. Exact: every query meets every distinct text. From ``enough`` on the search of a query
+    stops, so its value is then a similarity of at least that. ``queries`` has ``id``.
+
+    Texts of equal words are one row; the others pass by PASS at a time as a broadcast. Terms are
+    64-bit hashes; weights are positive."""
+    docs = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w"))).alias("a"))  # a text's terms
+    docs = materialise(docs.select("id", F.col("a.t").alias("terms"), F.col("a.w").alias("ws")).withColumn("bag", F.xxhash64("terms", "ws")), "nd")
+    bags = materialise(docs.groupBy("bag").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nb")
+    corpus = materialise(docs.join(bags.select("id"), "id", "left_semi").select("id", "terms", "ws"), "nc")
+    asked = queries.join(docs.select("id", "bag"), "id").join(bags.select("bag", F.col("id").alias("rep"), "copies"), "bag")
+    asked = materialise(asked.select("id", "rep", "copies"), "nq")
+    passes = max(1, -(-bags.count() // PASS))
+    todo = corpus.join(asked.where("copies = 1").select("id").distinct(), "id", "left_semi")
+    state = materialise(todo.repartition(4 * todo.sparkSession.sparkContext.defaultParallelism).withColumn("best", F.lit(0.0)), "ns")
+    for k in range(passes):
+        part = corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toPandas()  # about PASS rows
+        tiles = state.sparkSession.sparkContext.broadcast([part.iloc[i:i + TILE] for i in range(0, len(part), TILE)])
+        del part
+
+        def run(batches: Iterator[pd.DataFrame], tiles=tiles) -> Iterator[pd.DataFrame]:
+            against = None
+            for pdf in batches:
+                against = against or [_Vectors(t) for t in tiles.value]
+                best = pdf["best"].to_numpy(copy=True)
+                for c in against:
+                    left = np.flatnonzero(best < enough)
+                    for i in range(0, len(left), TILE):
+                        rows = left[i:i + TILE]
+                        found = best[rows]
+                        _improve(_Vectors(pdf.iloc[rows]), found, c)
+                        best[rows] = found
+                yield pdf.assign(best=best)
+
+        later = materialise(state.mapInPandas(run, state.schema), "ns")
+        drop_work(state)
+        tiles.destroy()
+        del tiles, run
+        state = later
+    found = asked.join(state.select(F.col("id").alias("rep"), "best"), "rep", "left").select("id", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("similarity"))
+    return queries.select("id").join(found, "id", "left").select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def clusters_by_frequency(df: DataFrame, key: str) -> DataFrame:
@@ -71,10 +148,36 @@ def clusters_by_frequency(df: DataFrame, key: str) -> DataFrame:
     return n.withColumn("cluster_id", F.row_number().over(W.orderBy(F.desc("size"), key)) - 1)
 
 
+def centroid_distance(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, distance``: 1 less the cosine of each text with words to the centroid."""
+    mean = materialise(centroid(weights, docs), "tc")
+    norm = mean.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    of = weights.join(mean.withColumnRenamed("w", "m"), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
+    return of.crossJoin(F.broadcast(norm)).select("id", (1 - F.col("dot") / (F.col("own") * F.col("length"))).alias("distance"))  # norm is one row
+
+
 def uniqueness_score(size: Column, distance: Column, similarity: Column, modal: Column) -> Column:
     """1 (common) to 5 (unique) from the opening cluster's size, the distance to the centroid, the
-    nearest similarity and whether the sentence count is the most common one."""
+    nearest similarity and whether the sentence count is within one of the most common one."""
     return (
-        F.when((size > 40) & ((similarity >= 0.72) | ~modal), 1).when((size > 40) | (similarity >= 0.85), 2)
-        .when((size > 10) | (similarity >= 0.72), 3).when((similarity >= 0.5) | (distance < 0.5), 4).otherwise(5)
+        F.when((size <= 2) & (distance >= 0.35) & (similarity < 0.45), 5).when((size <= 5) & (distance >= 0.25) & (similarity < 0.55), 4)
+        .when((size <= 15) & (similarity < 0.65), 3).when((size <= 40) | (similarity >= 0.72) | modal, 2).otherwise(1)
     )
+
+
+def uniqueness(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, score`` of every text that isn't blank. The nearest similarity is searched for where a cut
+    of the score depends on it: openings of at most 15 texts, or of more than 40 without the modal
+    sentence count; from 0.72 on it no longer matters how near."""
+    m = df.where(strip_ws(F.col(text)) != "").select(F.col(id_col).alias("id"), text)
+    w = materialise(tfidf(m, "id", text), "tfidf")
+    k = m.select("id", opening_key(F.col(text)).alias("opening"), F.greatest(F.size(sentences(F.col(text))), F.lit(1)).alias("n_s"), (F.size(tokens(F.col(text))) == 0).alias("wordless"))
+    sizes = k.groupBy("opening").agg(F.count("*").alias("size"))
+    one = k.groupBy("n_s").agg(F.count("*").alias("k"), F.sum(F.col("wordless").cast("int")).alias("e")).agg(F.max(F.struct("k", (-F.col("n_s")).alias("neg"))).alias("b"), F.sum("e").alias("empties"))
+    j = k.join(sizes, "opening").crossJoin(F.broadcast(one.select((-F.col("b.neg")).alias("mode"), "empties")))  # one row
+    j = materialise(j.select("id", "size", "wordless", "empties", (F.abs(F.col("n_s") - F.col("mode")) <= 1).alias("modal")), "tu")
+    near = nearest(w, j.where((F.col("size") <= 15) | (F.col("size") > 40) & ~F.col("modal")).select("id"), 0.72)
+    # two texts without words are equal
+    sim = F.when(F.col("wordless"), F.when(F.col("empties") > 1, 1.0).otherwise(0.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
+    all_of = j.join(centroid_distance(w, m), "id", "left").join(near, "id", "left")
+    return all_of.select("id", uniqueness_score(F.col("size"), F.coalesce("distance", F.lit(1.0)), sim, F.col("modal")).alias("score"))

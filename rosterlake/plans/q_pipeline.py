@@ -77,14 +77,8 @@ def opening_clusters(spark, d):
 
 
 def uniqueness_audit(spark, d):
-    """Scores 1 to 5 of descriptions from opening cluster, sentence pattern and length, counted."""
-    m = table(spark, d, "marin").where("vendor_description IS NOT NULL")
-    m = m.select("listing_id", X.opening_words(F.col("vendor_description"), 4).alias("opening"), F.size(X.sentences(F.col("vendor_description"))).alias("n_s"))
-    sizes = m.groupBy("opening").agg(F.count("*").alias("size"))
-    mode = m.groupBy("n_s").agg(F.count("*").alias("k")).agg(F.max(F.struct("k", -F.col("n_s")))["col2"].alias("neg"))
-    j = m.join(sizes, "opening").crossJoin(F.broadcast(mode.select((-F.col("neg")).alias("modal"))))  # one row
-    sim = F.least(F.col("size") / 20.0, F.lit(1.0))
-    return j.select(textstats.uniqueness_score(F.col("size"), F.lit(0.6), sim, F.col("n_s") == F.col("modal")).alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+    """Scores 1 to 5 of descriptions from opening cluster, centroid distance, nearest similarity and sentence count, counted."""
+    return textstats.uniqueness(table(spark, d, "marin"), "listing_id", "vendor_description").groupBy("score").agg(F.count("*").alias("n"))
 
 
 def json_fields(spark, d):
