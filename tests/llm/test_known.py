@@ -167,6 +167,17 @@ def test_p6_links(spark, tmp_path):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_p6_hot_name_needs_no_bucket(spark, tmp_path, monkeypatch):
+    """A name with more than 400 profiles on both sides and no phone or site in common, without buckets."""
+    from rosterlake.llm import p6_linkage
+
+    monkeypatch.setattr(p6_linkage, "SKETCH_MOST", -1)
+    places = [{"row_id": i, "vendor_name": "Dwelnoa Creek Gun Club", "phone": f"415-555-{i:04d}", "google_place_id": "P1"} for i in range(450)]
+    marin = [{"listing_id": i, "vendor_name": "Dwelnoa Creek Gun Club LLC", "phone": f"415-666-{i:04d}"} for i in range(450)] + [{"listing_id": 900, "vendor_name": "Trivia Wolf"}]
+    got = run(spark, tmp_path, "p6_found", marin=marin, vendors_placeid_smoke_out=places)
+    assert got == {(i, "P1") for i in range(450)}
+
+
 def test_p7_formatting(spark, tmp_path):
     rows = [("marin", "A & B, Inc."), ("MARIN.", "inc b-a"), ("marin", "A B"), ("san diego", "A & B Inc"), (None, "A & B Inc"), ("marin", None), ("san-diego", "INC, a  B"), ("marin", "O’Neil A"), ("marin", "oneil  a")]
     got = run(spark, tmp_path, "p7_found", marin=[{"listing_id": i, "county": a, "vendor_name": b} for i, (a, b) in enumerate(rows, 1)])
