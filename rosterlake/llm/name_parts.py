@@ -9,6 +9,10 @@ from itertools import combinations
 
 from rosterlake.llm.address_parts import osa
 
+INF = float("inf")
+# The letter rows of the keyboard, each set off to the right by what it is shifted.
+KEY_ROWS = (("qwertyuiop", 0.0), ("asdfghjkl", 0.25), ("zxcvbnm", 0.75))
+
 # Common short forms of given names.
 NICKNAMES = {
     "alexandra": "alex sandra lexi", "andrew": "andy drew", "anthony": "tony", "barbara": "barb barbie", "benjamin": "ben benny",
@@ -31,8 +35,17 @@ TRADE_WORDS = ("academy", "arms", "carry", "ccw", "center", "centre", "class", "
                "firearms", "group", "gun", "institute", "instruction", "instructor", "marksmanship", "personal", "pistol", "protection", "protective",
                "range", "safety", "school", "security", "self", "services", "service", "shooting", "sporting", "tactical", "tactics", "training", "concealed", "weapons")
 LEGAL = ("llc", "inc", "co", "corp", "ltd", "lp", "company", "incorporated", "corporation", "limited")
-SHORT_TRADE = ("acad", "acdmy", "cls", "ctr", "def", "frms", "grp", "inst", "instr", "mrksmnshp", "pers", "pist", "prot", "rng", "sch", "schl", "sec", "secur",
-               "sft", "sfty", "shoot", "shtg", "svc", "svcs", "tac", "tact", "train", "trg", "trng", "fa", "aca", "inst", "protect", "sport", "marks", "consult", "cons", "conslt", "clb", "cl", "pstl", "gp", "instrs")
+# Short forms of words of the trade, and words that stand for each other.
+SHORT_TRADE = {
+    "acad": "academy", "acdmy": "academy", "aca": "academy", "cls": "class", "ctr": "center", "cntr": "center", "def": "defense", "frms": "firearms", "fa": "firearms",
+    "grp": "group", "gp": "group", "inst": "institute", "instr": "instruction", "instrs": "instruction", "mrksmnshp": "marksmanship", "marks": "marksmanship",
+    "marksman": "marksmanship", "pers": "personal", "pist": "pistol", "pstl": "pistol", "prot": "protection", "protect": "protection", "rng": "range", "sch": "school",
+    "schl": "school", "sec": "security", "secur": "security", "sft": "safety", "sfty": "safety", "shoot": "shooting", "shtg": "shooting", "svc": "services",
+    "svcs": "services", "tac": "tactical", "tact": "tactical", "train": "training", "trg": "training", "trng": "training", "sport": "sporting", "consult": "consulting",
+    "cons": "consulting", "conslt": "consulting", "clb": "club", "cl": "class",
+}
+SAME_TRADE = {"centre": "center", "classes": "class", "defence": "defense", "defensive": "defense", "firearm": "firearms", "instructor": "instruction", "protective": "protection",
+              "service": "services", "tactics": "tactical", "weapons": "ccw", "concealed": "ccw"}
 
 _CANON: dict[str, set[str]] = {}
 for _full, _shorts in NICKNAMES.items():
@@ -48,8 +61,77 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
-def parse_person(text: str | None) -> tuple[str, str, str] | None:
-    """``(family, first, middle initials)``; the first name may be one initial. None names nobody."""
+_KEY_AT = {c: (r, i + shift) for r, (letters, shift) in enumerate(KEY_ROWS) for i, c in enumerate(letters)}
+
+
+@lru_cache(maxsize=1_000)
+def neighbour_keys(x: str, y: str) -> bool:
+    """Whether two letters lie next to each other on the keyboard."""
+    p, q = _KEY_AT.get(x), _KEY_AT.get(y)
+    return bool(p and q) and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1.3
+
+
+@lru_cache(maxsize=500_000)
+def typo_cost(a: str, b: str, most: int = 2) -> int:
+    """What it takes to mistype ``a`` as ``b``: 1 for a lost or added letter, two swapped letters or a
+    neighbouring key, 2 for any other letter; ``most + 1`` above ``most``."""
+    if osa(a, b, most) > most:
+        return most + 1
+    n, m = len(a), len(b)
+    far = most + 1
+    p2: list[int] = []
+    p1 = list(range(m + 1))
+    for i in range(1, n + 1):
+        row = [i] + [far] * m
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            x, y = a[i - 1], b[j - 1]
+            v = min(p1[j] + 1, row[j - 1] + 1, p1[j - 1] + (0 if x == y else 1 if neighbour_keys(x, y) else 2))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, p2[j - 2] + 1)
+            row[j] = v
+        p2, p1 = p1, row
+    return min(p1[m], far)
+
+
+def assignment(cost: list[list[float]]) -> tuple[float, list[int]]:
+    """Optimal assignment of n rows to m >= n columns (Hungarian method, O(n m n)): the total and the
+    column of each row. Impossible pairs cost a large finite number."""
+    n = len(cost)
+    m = len(cost[0]) if n else 0
+    u, v, who, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        who[0], j0 = i, 0
+        least, used = [INF] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = who[j0], INF, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[who[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if who[j0] == 0:
+                break
+        while j0:
+            who[j0], j0 = who[way[j0]], way[j0]
+    col = [0] * n
+    for j in range(1, m + 1):
+        if who[j]:
+            col[who[j] - 1] = j - 1
+    return sum(cost[i][col[i]] for i in range(n)), col
+
+
+def parse_person(text: str | None) -> tuple[str, tuple[str, ...]] | None:
+    """``(family, given names)`` with the given names in order, each a word or an initial. None names nobody."""
     if not text:
         return None
     s = plain(text)
@@ -65,43 +147,72 @@ def parse_person(text: str | None) -> tuple[str, str, str] | None:
         toks.pop(0)
     if " ".join(toks) in NOBODY or len(toks) < 2 or len(toks[-1]) < 2:
         return None
-    first, middle = toks[0], "".join(t[0] for t in toks[1:-1])
-    return toks[-1], first, middle
+    return toks[-1], tuple(toks[:-1])
 
 
 @lru_cache(maxsize=200_000)
-def given_match(a: str, b: str) -> str:
-    """``full``, ``initial`` or ``no``: may two first names be of one person?"""
+def given_cost(a: str, b: str) -> float:
+    """What it costs to call two given names one: 0 equal, 0.1 a short form, 0.4 an initial (of the name
+    or of what it is short for), 1 or 2 a typo of either; infinite otherwise."""
     if a == b:
-        return "full" if len(a) > 1 else "initial"
+        return 0.0
     if len(a) == 1 or len(b) == 1:
         short, long = (a, b) if len(a) == 1 else (b, a)
         starts = {long[0]} | {c[0] for c in _CANON.get(long, ())}
-        return "initial" if short in starts else "no"
+        return 0.4 if len(long) > 1 and short in starts else INF
     ca, cb = _CANON.get(a), _CANON.get(b)
     if ca and cb:
-        return "full" if ca & cb else "no"
+        return 0.1 if ca & cb else INF
     most = 1 if min(len(a), len(b)) < 7 else 2
-    if osa(a, b, most) <= most:
-        return "full"
+    c = typo_cost(a, b, most)
+    if c <= most:
+        return float(c)
     # a misspelt short form
     for known, other in ((ca, b), (cb, a)):
-        if known and any(osa(k, other, 1) <= 1 for k in known if len(k) > 3):
-            return "full"
-    return "no"
-
-
-def person_cost(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
-    """Optimal assignment of the tokens of two mentions: family names to each other, first to first or
-    to a middle initial, initials free; infinite where a part contradicts."""
-    if a[2] and b[2] and a[2][0] != b[2][0]:
-        return float("inf")
-    kind = given_match(a[1], b[1])
-    if kind == "no":
-        return float("inf")
+        if known and any(typo_cost(k, other, 1) <= 1 for k in known if len(k) > 3):
+            return 1.1
+    return INF
+
+
+#: Cost of a given name that one of two mentions leaves out, and of a first name called by as a second one.
+LEFT_OUT, MOVED, NO_PAIR = 0.1, 0.3, 1_000.0
+
+
+@lru_cache(maxsize=200_000)
+def givens_cost(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Optimal assignment of the given names of two mentions: an initial stands for a name, a name that
+    only one mention has was left out; names left over on both sides contradict."""
+    if a[0] == b[0] and (len(a) == 1 or len(b) == 1):
+        return LEFT_OUT * (len(a) + len(b) - 2)
+    if len(a) > len(b):
+        a, b = b, a
+    rows = []
+    for i, x in enumerate(a):
+        row = []
+        for j, y in enumerate(b):
+            c = given_cost(x, y)
+            if (i == 0) != (j == 0):  # called by a second name: only a whole name tells
+                c = INF if len(x) == 1 or len(y) == 1 else c + MOVED
+            row.append(min(c, NO_PAIR))
+        rows.append(row)
+    total, _ = assignment(rows)
+    return INF if total >= NO_PAIR else total + LEFT_OUT * (len(b) - len(a))
+
+
+def person_cost(a: tuple[str, tuple[str, ...]], b: tuple[str, tuple[str, ...]]) -> float:
+    """Optimal assignment of the tokens of two mentions, family names to each other and given names among
+    each other; infinite where a part contradicts."""
     most = 1 if min(len(a[0]), len(b[0])) < 7 else 2
-    d = osa(a[0], b[0], most)
-    return float("inf") if d > most else d + (0.5 if kind == "initial" else 0.0)
+    d = typo_cost(a[0], b[0], most)
+    return INF if d > most else d + givens_cost(a[1], b[1])
+
+
+@lru_cache(maxsize=200_000)
+def given_keys(name: str) -> tuple[str, ...]:
+    """Keys that two given names of small cost share: deletion neighbourhoods and the names that a name,
+    or a name one letter longer, is short for."""
+    near = deletes(name, 1)
+    return tuple(near | {f"c:{c}" for k in near for c in _CANON.get(k, ())})
 
 
 #: Longer tokens are indexed by segments: their deletion neighbourhoods would grow with the square of the length.
@@ -127,49 +238,71 @@ def deletes(token: str, most: int) -> set[str]:
 
 
 @lru_cache(maxsize=100_000)
-def trade_word(tok: str) -> bool:
-    """A word of the trade, one of its short forms, or a near spelling of a longer one."""
-    if tok in TRADE_WORDS or tok in SHORT_TRADE or tok in LEGAL:
-        return True
-    if len(tok) >= 6:
-        most = 2 if len(tok) >= 9 else 1
-        if any(abs(len(w) - len(tok)) <= most and osa(w, tok, most) <= most for w in TRADE_WORDS if len(w) >= 6):
-            return True
-    return len(tok) >= 4 and any(abs(len(w) - len(tok)) <= 1 and osa(w, tok, 1) <= 1 for w in ("school", "classes", "pistol", "group", "safety", "range"))
+def trade_word(tok: str) -> str | None:
+    """The word of the trade that a token is, is short for or misspells; None for any other token."""
+    if tok in TRADE_WORDS:
+        return SAME_TRADE.get(tok, tok)
+    if tok in LEGAL:
+        return ""
+    if tok in SHORT_TRADE:
+        return SHORT_TRADE[tok]
+    if len(tok) >= 5:
+        # a word broken off
+        for w in TRADE_WORDS:
+            if len(w) > len(tok) and w.startswith(tok):
+                return SAME_TRADE.get(w, w)
+        most = 2 if len(tok) >= 8 else 1
+        best = min(((typo_cost(w, tok, most), w) for w in TRADE_WORDS if len(w) >= 5 and abs(len(w) - len(tok)) <= most), default=(most + 1, ""))
+        if best[0] <= most:
+            return SAME_TRADE.get(best[1], best[1])
+    return None
 
 
 def parse_org(text: str | None) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-    """(telling tokens, trade words) of an organisation's name, in order; None names nobody."""
+    """(telling tokens in order, words of the trade written out, sorted) of an organisation's name; None
+    names nobody."""
     if not text:
         return None
     s = plain(text)
     s = re.sub(r"\s-\s.*$|/.*$", " ", s)
+    s = re.sub(r"\bf\.?\s?a\.", "firearms ", s)
+    s = re.sub(r"\bc\.*\s?c\.*\s?w\b\.?|\bconcealed\s+carry(?:\s+weapons?)?\b", "ccw ", s)
     s = re.sub(r"\b([a-z])\.\s?([a-z])\.(?:\s?([a-z])\.)?", lambda m: "".join(x or "" for x in m.groups()), s)
     s = re.sub(r"['’]s\b", "", s)
     toks = re.findall(r"[a-z0-9]+", s)
     if " ".join(toks) in NOBODY:
         return None
     kept = [t for t in toks if t not in ("the", "by", "and", "of") and t not in LEGAL]
-    telling = tuple(t for t in kept if not trade_word(t))
+    telling = tuple(t for t in kept if trade_word(t) is None)
     if not telling:
         return (tuple(kept), ()) if kept else None
-    return telling, tuple(t for t in kept if trade_word(t))
+    return telling, tuple(sorted({w for t in kept if (w := trade_word(t))}))
 
 
-def org_match(a: tuple[str, ...], b: tuple[str, ...], trade_a: tuple[str, ...], trade_b: tuple[str, ...], rare: bool) -> bool:
-    """Optimal assignment of telling tokens (at most two or three each), glued tokens allowed.
+def token_cost(x: str, y: str) -> float:
+    """What it costs to call two telling tokens one word: an initial or a word broken off 0.5, a typo 1
+    or 2 for the length, infinite otherwise."""
+    if x == y:
+        return 0.0
+    short, long = (x, y) if len(x) < len(y) else (y, x)
+    if long.startswith(short) and (len(short) == 1 or len(short) >= 4 and len(long) - len(short) > 2):
+        return 0.5
+    most = 0 if len(short) < 3 else 1 if len(short) < 6 else 2
+    c = typo_cost(x, y, most)
+    return float(c) if c <= most else INF
 
-    Names that are not spelt alike must share a trade word or its short form (two first letters),
-    unless one has none; two edits are too many unless one of the spellings occurs once (``rare``)."""
+
+def org_cost(a: tuple[str, ...], b: tuple[str, ...], trade_a: tuple[str, ...], trade_b: tuple[str, ...]) -> float:
+    """Optimal assignment of the tokens of two names in any order. Each telling token needs a partner,
+    unless the names are near when glued together. Of the words of the trade one side may lack some;
+    words left over on both sides contradict."""
+    if set(trade_a) - set(trade_b) and set(trade_b) - set(trade_a):
+        return INF
     x, y = "".join(a), "".join(b)
-    if x == y:
-        return True
-    d = osa(x, y, 2)
-    if d > (2 if rare and min(len(x), len(y)) >= 9 else 1):
-        return False
-    if trade_a and trade_b and not {t[:2] for t in trade_a} & {t[:2] for t in trade_b}:
-        return False
-    if len(a) == len(b) and len(a) > 1:
-        # each token must find its own partner, a short one by at most one edit
-        return all(osa(p, q, 2) <= (1 if min(len(p), len(q)) < 6 else 2) for p, q in zip(a, b))
-    return True
+    most = 1 if min(len(x), len(y)) < 9 else 2
+    glued = typo_cost(x, y, most)
+    best = float(glued) if glued <= most else INF
+    if len(a) == len(b) and best > 0:
+        total, _ = assignment([[min(token_cost(p, q), NO_PAIR) for q in b] for p in a])
+        best = min(best, total)
+    return best if best <= most else INF

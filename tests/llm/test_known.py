@@ -16,7 +16,7 @@ from tables import write  # noqa: E402
 from rosterlake.llm import p4_neardup, p9_packing  # noqa: E402
 from rosterlake.llm.address_parts import align, osa, parse, same_place, substitution  # noqa: E402
 from rosterlake.llm.common import components  # noqa: E402
-from rosterlake.llm.name_parts import given_match, parse_org, parse_person  # noqa: E402
+from rosterlake.llm.name_parts import INF, assignment, given_cost, givens_cost, org_cost, parse_org, parse_person, typo_cost  # noqa: E402
 from rosterlake.llm.p10_pii import redact  # noqa: E402
 from rosterlake.llm.p8_tokens import DEFAULT_DIR, DEFAULT_FILE, SpeculativeEncoder  # noqa: E402
 from rosterlake.llm.queries import queries  # noqa: E402
@@ -79,12 +79,28 @@ def test_p2_cases(spark, tmp_path):
 
 
 def test_names():
-    assert parse_person("Sgt. Snalgart, Greg T. (Ret.), Jr.") == ("snalgart", "greg", "t")
-    assert parse_person("G.C. Chrierpeen - Lead") == ("chrierpeen", "g", "c") and parse_person("TBD") is None and parse_person("") is None
-    assert given_match("judy", "judith") == "full" and given_match("w", "bill") == "initial" and given_match("jon", "jen") == "no"
+    assert parse_person("Sgt. Snalgart, Greg T. (Ret.), Jr.") == ("snalgart", ("greg", "t"))
+    assert parse_person("G.C. Chrierpeen - Lead") == ("chrierpeen", ("g", "c")) and parse_person("TBD") is None and parse_person("") is None
+    assert given_cost("judy", "judith") < 0.4 and given_cost("w", "bill") == 0.4 and given_cost("jon", "jen") == INF
     assert parse_org("The Vrattiad Pass Tac Train. - Fairville")[0] == ("vrattiad", "pass") and parse_org("Private Instructor") is None
 
 
+def test_name_assignment():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n, m = rng.randrange(1, 5), rng.randrange(5, 7)
+        cost = [[rng.choice([0.0, 0.5, 1.0, 2.0, 1000.0]) for _ in range(m)] for _ in range(n)]
+        assert assignment(cost)[0] == min(sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(m), n))
+    # a neighbouring key is one typo, another letter is two
+    assert typo_cost("jorvoll", "jorcoll") == 1 and typo_cost("jorvoll", "jorpoll") == 2 and typo_cost("harbor", "habror") == 1 and typo_cost("abc", "xyz") == 3
+    # called by the second name; a second name left out; second names that contradict
+    assert givens_cost(("j", "robert"), ("robert",)) < 1 and givens_cost(("robert", "l"), ("robert",)) < 1 and givens_cost(("robert", "l"), ("robert", "m")) == INF
+    assert org_cost(("oak", "ridge"), ("ridge", "oak"), ("academy",), ()) == 0 and org_cost(("oak", "r"), ("oak", "ridge"), (), ()) == 0.5
+    assert org_cost(("oak", "ridge"), ("oak", "bridge"), ("academy",), ("ccw", "training")) == INF and org_cost(("oak", "ridge"), ("oak", "canyon"), (), ()) == INF
+
+
 def test_p3_pairs(spark, tmp_path):
     v = [("Sweankex Pioneer CCW Academy LLC", "José Mirneau; Judy Stoambette"), ("SWEANKEX PIONEER C.C.W. ACAD.", "Mirneau, Jose"), ("CCW Academy by SweankexPioneer", "J. Stoambette"),
          ("Other Harbor Gun Club", "James Stoambette"), ("TBD", "Various"), (None, None), ("Swaenkex Pioneer CCW Academy", "Judith Stoambett")]
