@@ -71,11 +71,20 @@ def neighbour_keys(x: str, y: str) -> bool:
     return bool(p and q) and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1.3
 
 
+def letters(word: str) -> int:
+    """The set of a word's letters as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 @lru_cache(maxsize=500_000)
 def typo_cost(a: str, b: str, most: int = 2) -> int:
     """What it takes to mistype ``a`` as ``b``: 1 for a lost or added letter, two swapped letters or a
     neighbouring key, 2 for any other letter; ``most + 1`` above ``most``."""
-    if osa(a, b, most) > most:
+    x, y = letters(a), letters(b)
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most or osa(a, b, most) > most:
         return most + 1
     n, m = len(a), len(b)
     far = most + 1
@@ -237,7 +246,10 @@ def deletes(token: str, most: int) -> set[str]:
     return out
 
 
-@lru_cache(maxsize=100_000)
+_TRADE_LETTERS = [(w, len(w), letters(w)) for w in TRADE_WORDS if len(w) >= 5]
+
+
+@lru_cache(maxsize=200_000)
 def trade_word(tok: str) -> str | None:
     """The word of the trade that a token is, is short for or misspells; None for any other token."""
     if tok in TRADE_WORDS:
@@ -246,16 +258,28 @@ def trade_word(tok: str) -> str | None:
         return ""
     if tok in SHORT_TRADE:
         return SHORT_TRADE[tok]
-    if len(tok) >= 5:
-        # a word broken off
-        for w in TRADE_WORDS:
-            if len(w) > len(tok) and w.startswith(tok):
-                return SAME_TRADE.get(w, w)
-        most = 2 if len(tok) >= 8 else 1
-        best = min(((typo_cost(w, tok, most), w) for w in TRADE_WORDS if len(w) >= 5 and abs(len(w) - len(tok)) <= most), default=(most + 1, ""))
-        if best[0] <= most:
-            return SAME_TRADE.get(best[1], best[1])
-    return None
+    n = len(tok)
+    if n < 5:
+        return None
+    most, mine, best = 2 if n >= 8 else 1, letters(tok), None
+    for w, k, theirs in _TRADE_LETTERS:
+        if k > n and w.startswith(tok):  # a word broken off
+            return SAME_TRADE.get(w, w)
+        # an edit brings in one letter at most
+        if abs(k - n) <= most and (mine & ~theirs).bit_count() <= most and (theirs & ~mine).bit_count() <= most:
+            c = typo_cost(w, tok, most)
+            if c <= most and (best is None or c < best[0]):
+                best = (c, w)
+    return SAME_TRADE.get(best[1], best[1]) if best else None
+
+
+_AFTER = re.compile(r"\s-\s.*$|/.*$")
+_FA = re.compile(r"\bf\.?\s?a\.")
+_CCW = re.compile(r"\bc\.*\s?c\.*\s?w\b\.?|\bconcealed\s+carry(?:\s+weapons?)?\b")
+_LETTERS = re.compile(r"\b([a-z])\.\s?([a-z])\.(?:\s?([a-z])\.)?")
+_OWNS = re.compile(r"['’]s\b")
+_WORDS = re.compile(r"[a-z0-9]+")
+_JOINING = frozenset(("the", "by", "and", "of")) | frozenset(LEGAL)
 
 
 def parse_org(text: str | None) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
@@ -263,20 +287,17 @@ def parse_org(text: str | None) -> tuple[tuple[str, ...], tuple[str, ...]] | Non
     names nobody."""
     if not text:
         return None
-    s = plain(text)
-    s = re.sub(r"\s-\s.*$|/.*$", " ", s)
-    s = re.sub(r"\bf\.?\s?a\.", "firearms ", s)
-    s = re.sub(r"\bc\.*\s?c\.*\s?w\b\.?|\bconcealed\s+carry(?:\s+weapons?)?\b", "ccw ", s)
-    s = re.sub(r"\b([a-z])\.\s?([a-z])\.(?:\s?([a-z])\.)?", lambda m: "".join(x or "" for x in m.groups()), s)
-    s = re.sub(r"['’]s\b", "", s)
-    toks = re.findall(r"[a-z0-9]+", s)
+    s = _CCW.sub("ccw ", _FA.sub("firearms ", _AFTER.sub(" ", plain(text))))
+    s = _LETTERS.sub(lambda m: "".join(x or "" for x in m.groups()), s)
+    toks = _WORDS.findall(_OWNS.sub("", s))
     if " ".join(toks) in NOBODY:
         return None
-    kept = [t for t in toks if t not in ("the", "by", "and", "of") and t not in LEGAL]
-    telling = tuple(t for t in kept if trade_word(t) is None)
+    kept = [t for t in toks if t not in _JOINING]
+    words = [trade_word(t) for t in kept]
+    telling = tuple(t for t, w in zip(kept, words) if w is None)
     if not telling:
         return (tuple(kept), ()) if kept else None
-    return telling, tuple(sorted({w for t in kept if (w := trade_word(t))}))
+    return telling, tuple(sorted({w for w in words if w}))
 
 
 def token_cost(x: str, y: str) -> float:
