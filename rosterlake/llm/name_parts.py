@@ -324,6 +324,7 @@ def org_cost(a: tuple[str, ...], b: tuple[str, ...], trade_a: tuple[str, ...], t
     glued = typo_cost(x, y, most)
     best = float(glued) if glued <= most else INF
     if len(a) == len(b) and best > 0:
-        total, _ = assignment([[min(token_cost(p, q), NO_PAIR) for q in b] for p in a])
-        best = min(best, total)
+        rows = [[min(token_cost(p, q), NO_PAIR) for q in b] for p in a]
+        if max(map(min, rows)) <= most:
+            best = min(best, assignment(rows)[0])
     return best if best <= most else INF
