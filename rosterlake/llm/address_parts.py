@@ -206,12 +206,16 @@ UNKNOWN_CITY = "~"
 
 
 GAP_OPEN, GAP_EXTEND, CLASH = 0.4, 0.1, 4.0
+#: Alignments up to this cost denote one place: below a clash, above all gaps and typos that may come together.
+MOST_COST = 3.0
 
 
 def align(a: list[tuple[str, str]], b: list[tuple[str, str]], substitution) -> float:
-    """Cost of the best global alignment of two token sequences with affine gaps."""
+    """Cost of the best global alignment of two token sequences with affine gaps. Leaving out a token is
+    a gap only if the other sequence lacks its kind; otherwise it would hide a contradiction and costs CLASH."""
     inf = float("inf")
     n, m = len(a), len(b)
+    in_a, in_b = {k for k, _ in a}, {k for k, _ in b}
     best = [[inf] * (m + 1) for _ in range(n + 1)]
     up = [[inf] * (m + 1) for _ in range(n + 1)]
     left = [[inf] * (m + 1) for _ in range(n + 1)]
@@ -219,9 +223,11 @@ def align(a: list[tuple[str, str]], b: list[tuple[str, str]], substitution) -> f
     for i in range(n + 1):
         for j in range(m + 1):
             if i:
-                up[i][j] = min(best[i - 1][j] + GAP_OPEN, up[i - 1][j] + GAP_EXTEND)
+                hidden = CLASH if a[i - 1][0] in in_b else 0.0
+                up[i][j] = min(best[i - 1][j] + GAP_OPEN, up[i - 1][j] + GAP_EXTEND) + hidden
             if j:
-                left[i][j] = min(best[i][j - 1] + GAP_OPEN, left[i][j - 1] + GAP_EXTEND)
+                hidden = CLASH if b[j - 1][0] in in_a else 0.0
+                left[i][j] = min(best[i][j - 1] + GAP_OPEN, left[i][j - 1] + GAP_EXTEND) + hidden
             if i and j:
                 best[i][j] = min(best[i][j], best[i - 1][j - 1] + substitution(a[i - 1], b[j - 1]))
             best[i][j] = min(best[i][j], up[i][j], left[i][j])
@@ -229,15 +235,18 @@ def align(a: list[tuple[str, str]], b: list[tuple[str, str]], substitution) -> f
 
 
 def substitution(x: tuple[str, str], y: tuple[str, str]) -> float:
-    """0 for equal parts (abbreviations were written out by the dictionaries), a little for a typo
-    in a name, CLASH for a part of the same kind that says something else, infinite across kinds."""
+    """0 for tokens equal or equal by the abbreviation dictionaries, 0.2 an edit in a name or an unknown
+    city, CLASH for a token of the same kind that says something else, infinite across kinds."""
     if x[0] != y[0]:
         return float("inf")
-    if x[1] == y[1]:
+    p, q = x[1], y[1]
+    if p == q:
         return 0.0
-    if x[0] == "name" and near_words(x[1], y[1]):
-        return 0.2 * osa(x[1], y[1])
-    if x[0] == "city" and UNKNOWN_CITY in (x[1][:1], y[1][:1]) and near_city(x[1].lstrip(UNKNOWN_CITY), y[1].lstrip(UNKNOWN_CITY)):
+    if x[0] == "type" and (street_type(p) or p) == (street_type(q) or q) or x[0] == "dir" and DIRECTIONS.get(p, p) == DIRECTIONS.get(q, q):
+        return 0.0
+    if x[0] == "name" and near_words(p, q):
+        return 0.2 * osa(p, q)
+    if x[0] == "city" and UNKNOWN_CITY in (p[:1], q[:1]) and near_city(p.lstrip(UNKNOWN_CITY), q.lstrip(UNKNOWN_CITY)):
         return 0.2
     return CLASH
 
@@ -246,28 +255,20 @@ PARTS = ("number", "dir", "name", "type", "unit", "city")
 
 
 @lru_cache(maxsize=100_000)
-def _align_cost(kinds_a: tuple, kinds_b: tuple, clashes: tuple) -> float:
+def _align_cost(kinds_a: tuple, kinds_b: tuple, costs: tuple) -> float:
     """Alignment by which parts are given and what substituting each shared part costs."""
-    costs = dict(clashes)
-    sub = lambda x, y: costs[x[0]] if x[0] == y[0] else float("inf")
+    of = dict(costs)
+    sub = lambda x, y: of[x[0]] if x[0] == y[0] else float("inf")
     return align([(k, "") for k in kinds_a], [(k, "") for k in kinds_b], sub)
 
 
 def same_place(a: tuple, b: tuple) -> bool:
-    """Whether two parsed addresses (number, dir, name, type, unit, cities) denote one location.
-
-    The alignment of their parts must cost no more than the gaps of the missing parts and two small
-    typos; a clash costs more, whether it is aligned as a substitution or as two gaps. ``cities`` holds
-    one or more city keys, any of which may match."""
+    """Whether two parsed addresses (number, dir, name, type, unit, cities) denote one location: whether
+    the alignment of their tokens costs no more than MOST_COST. ``cities`` holds one or more city keys,
+    any of which may match."""
     costs = []
     for k, p, q in zip(PARTS, a, b):
         if p and q:
-            if k == "city":
-                costs.append((k, min(substitution((k, x), (k, y)) for x in p for y in q)))
-            else:
-                costs.append((k, substitution((k, p), (k, q))))
-    if any(c >= CLASH for _, c in costs):
-        return False
+            costs.append((k, min(substitution((k, x), (k, y)) for x in p for y in q) if k == "city" else substitution((k, p), (k, q))))
     ka, kb = tuple(k for k, v in zip(PARTS, a) if v), tuple(k for k, v in zip(PARTS, b) if v)
-    gaps = len(set(ka) ^ set(kb))
-    return _align_cost(ka, kb, tuple(costs)) <= GAP_OPEN * gaps + 1.0
+    return _align_cost(ka, kb, tuple(costs)) <= MOST_COST

@@ -8,19 +8,42 @@ from pyspark.sql import functions as F
 from rosterlake.operators.skew import HOT_SHARE, skewless_lookup
 from rosterlake.session import drop_work, materialise
 
-__all__ = ["HOT_SHARE", "components", "skewless_lookup", "words_any_order"]
+__all__ = ["HOT_SHARE", "PAIR_BLOCK", "TYPO_SHARE", "components", "pairs_within", "rare_enough", "skewless_lookup", "words_any_order"]
 
+#: Share of the mentions of a name that bear one certain typo, at most.
+TYPO_SHARE = 1 / 500
+#: Rows of a group that one task pairs with others at a time.
+PAIR_BLOCK = 2_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+
+def rare_enough(a: str, b: str, share: float = TYPO_SHARE) -> str:
+    """SQL condition: the rarer of two spellings is as rare as a typo of the other would be."""
+    return f"least({a}, {b}) <= 1 + {share} * greatest({a}, {b})"
+
+
+def pairs_within(member: DataFrame, row: str, group: str) -> DataFrame:
+    """Pairs ``row_a < row_b`` of rows of one group. The rows of a large group are paired block by block,
+    so that no task meets more than ``PAIR_BLOCK`` times the group's rows."""
+    m = member.select(F.col(row).alias("r"), F.col(group).alias("e"))
+    sizes = m.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    m = skewless_lookup(m, materialise(sizes, "pw"), ["e"], "n")
+    left = m.select(F.col("r").alias("row_a"), "e", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int").alias("k"))
+    right = m.select(F.col("r").alias("row_b"), "e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    return left.join(right, ["e", "k"]).where("row_a < row_b").select("row_a", "row_b")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: one row ``(id, root)`` per node of ``edges``, root being the least id.
 
     Alternating large-star and small-star steps (each a groupBy with map-side combine and one join),
-    every round materialised; O(log n) rounds; nothing but a change count reaches the driver."""
+    every round materialised, until nothing changes; O(log n) rounds; nothing but a change count reaches
+    the driver."""
     cur = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
     state = cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    for _ in range(max_rounds if state[0] else 0):
+    same = not state[0]
+    while not same:
         # large star: strictly larger neighbours of each node attach to the node's least neighbour
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -35,8 +58,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         same = state == last
         drop_work(cur)
         cur = nxt
-        if same:
-            break
     star = cur.groupBy("u").agg(F.min("v").alias("root"))
     return star.select(F.col("u").alias("id"), "root").unionByName(star.select(F.col("root").alias("id"), "root").distinct())
 

@@ -7,8 +7,13 @@ over shingles that combine the house number with the name token and its characte
 equal house numbers meet; near names are verified, and the address variants of equal or near
 streets are compared by affine-gap alignment of their parts.
 
-Two near names are one street with a typo unless both are established: a name that many more
-house numbers carry is no typo of another such name.
+Two near names of one house number are one street with a typo if the addresses name the same city, or
+if the rarer name is as rare as a typo would be (counted in house numbers: ``STREET_TYPOS`` of the
+more frequent one, plus one); otherwise a name that more house numbers carry is a street of its own. The city of a ZIP is the one that most addresses
+with it write, the more frequent city on a tie.
+
+Only addresses of one street and one city meet; those without a city, or with a city that is no known
+spelling, meet all of their street.
 
 Rows without address, house number or street take no part. A missing part matches any; the relation
 is not transitive, so the result is pairs. Where an address names neither city nor ZIP the row's
@@ -25,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm.address_parts import UNKNOWN_CITY, city_key, near_city, near_words, parse, same_place
-from rosterlake.llm.common import skewless_lookup
+from rosterlake.llm.common import pairs_within, rare_enough, skewless_lookup
 from rosterlake.session import materialise, table
 
 BANDS = 16
-#: A name counts as established if at least this many house numbers carry it.
-ESTABLISHED = 4
+#: Share of a street name's house numbers that bear one certain typo, at most. It is larger than that of
+#: names of people, since near names here share the house number, and usually the city, as well.
+STREET_TYPOS = 1 / 20
 
 _SEP = re.compile(r"\s*(?:[,;/|&\r\n\"]|\band\b)+\s*", re.I)
 
@@ -60,7 +66,8 @@ def parsed(df: DataFrame, id_col: str, address: str, city: str) -> DataFrame:
 def settle(rows: DataFrame) -> DataFrame:
     """Fill and mend cities by ZIP; the result has ``cities``, an array of city keys (empty: unknown)."""
     pairs = rows.where("city <> '' AND zip <> '' AND NOT soft").groupBy("zip", "city").agg(F.count("*").alias("n"))
-    best = pairs.groupBy("zip").agg(F.max(F.struct("n", "city")).alias("b")).where("b.n >= 2 OR length(b.city) > 3")
+    often = pairs.groupBy("city").agg(F.sum("n").alias("all"))
+    best = pairs.join(often, "city").groupBy("zip").agg(F.max(F.struct("n", "all", "city")).alias("b"))
     of_zip = dict(best.select("zip", "b.city").collect())  # at most 100,000 codes
     of_zip = {z: c for z, c in of_zip.items() if c}
     shared = rows.sparkSession.sparkContext.broadcast(of_zip)
@@ -99,7 +106,8 @@ def _grams(num: str, name: str, q: int = 3) -> set[str]:
 
 
 def street_links(streets: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Pairs ``a < b`` of near streets of one house number; ``streets`` has ``sid, num, name, known``."""
+    """Pairs ``a < b`` of near streets of one house number, and whether one is as ``rare`` as a typo of the
+    other; ``streets`` has ``sid, num, name, known``."""
     seeds = np.random.default_rng(7).integers(1, 2**63, size=bands, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,14 +136,14 @@ def street_links(streets: DataFrame, bands: int = BANDS) -> DataFrame:
     flat = flat.select("key", "sid", "name", "known")
     left, right = flat.toDF("key", "a", "na", "ka"), flat.toDF("key", "b", "nb", "kb")
     pairs = left.join(right, "key").where("a < b AND abs(length(na) - length(nb)) <= 2").select("a", "b", "na", "nb", "ka", "kb").distinct()
-    pairs = pairs.where(f"least(ka, kb) < {ESTABLISHED} AND levenshtein(na, nb, 4) >= 0")
+    pairs = pairs.where("levenshtein(na, nb, 4) >= 0").withColumn("rare", F.expr(rare_enough("ka", "kb", STREET_TYPOS)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [near_words(x, y) for x, y in zip(pdf["na"], pdf["nb"])]
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pdf.loc[ok, ["a", "b", "rare"]]
 
-    return pairs.mapInPandas(near, "a bigint, b bigint")
+    return pairs.mapInPandas(near, "a bigint, b bigint, rare boolean")
 
 
 def same_location(df: DataFrame, id_col: str, address: str, city: str) -> tuple[DataFrame, DataFrame]:
@@ -149,30 +157,36 @@ def same_location(df: DataFrame, id_col: str, address: str, city: str) -> tuple[
     streets = materialise(streets.join(known, "name").select("sid", "num", "name", "known"), "p1t")
     links = materialise(street_links(streets), "p1l")
     placed = materialise(nodes.join(streets.select("num", "name", "sid"), ["num", "name"]).select("sid", "node", *parts), "p1p")
-    both = links.unionByName(streets.select(F.col("sid").alias("a"), F.col("sid").alias("b")))
+    # a street meets itself and its near ones; both directions, so that either side may lack the city
+    own = streets.select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.lit(True).alias("rare"))
+    both = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "rare")).unionByName(own), "p1b")
     cols = ["node", *parts]
     left = placed.select(F.col("sid").alias("a"), *[F.col(c).alias(f"l_{c}") for c in cols])
     right = placed.select(F.col("sid").alias("b"), *[F.col(c).alias(f"r_{c}") for c in cols])
+    open_ = lambda s: f"size({s}_cities) = 0 OR exists({s}_cities, c -> c LIKE '{UNKNOWN_CITY}%')"
+    known = left.join(both, "a").where(f"NOT ({open_('l')})").withColumn("city", F.explode("l_cities"))
+    met = known.join(right.where(f"NOT ({open_('r')})").withColumn("city", F.explode("r_cities")), ["b", "city"]).drop("city").where("l_node < r_node")
+    wild = left.where(open_("l")).join(both.where("rare"), "a").join(right, "b").where(f"l_node < r_node OR l_node > r_node AND NOT ({open_('r')})")
     fits = " AND ".join(f"(l_{c} = r_{c} OR l_{c} = '' OR r_{c} = '')" for c in ("dir", "kind", "unit"))
-    cand = left.join(both, "a").join(right, "b").where(f"((a = b AND l_node < r_node) OR a <> b) AND {fits}")
+    cand = met.unionByName(wild.select(met.columns)).where(fits)
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             l = list(zip(*[pdf[f"l_{c}"] for c in parts[:-1]], map(tuple, pdf["l_cities"])))  # noqa: E741
             r = list(zip(*[pdf[f"r_{c}"] for c in parts[:-1]], map(tuple, pdf["r_cities"])))
             ok = [same_place(x, y) for x, y in zip(l, r)]
-            yield pd.DataFrame({"a": pdf["l_node"][ok], "b": pdf["r_node"][ok]})
+            l, r = pdf["l_node"][ok], pdf["r_node"][ok]  # noqa: E741
+            yield pd.DataFrame({"a": np.minimum(l, r), "b": np.maximum(l, r)})
 
-    pairs = cand.drop("a", "b").mapInPandas(aligned, "a bigint, b bigint")
-    return member, pairs
+    # nodes that share several cities meet more than once
+    return member, cand.drop("a", "b").mapInPandas(aligned, "a bigint, b bigint").distinct()
 
 
 def pairs_of(member: DataFrame, links: DataFrame) -> DataFrame:
     """Row pairs ``(a, b)``, a < b: all rows of one node and of linked nodes."""
-    member = member.repartition("node")
-    l, r = member.toDF("a", "na"), member.toDF("b", "nb")  # noqa: E741
-    inner = l.join(r, F.col("na") == F.col("nb")).where("a < b").select("a", "b")
-    x = links.join(l.toDF("ra", "a"), "a").join(r.toDF("rb", "b"), "b")
+    inner = pairs_within(member, "id", "node").toDF("a", "b")
+    l, r = member.toDF("ra", "a"), member.toDF("rb", "b")  # noqa: E741
+    x = links.join(l, "a").join(r, "b")
     return inner.unionByName(x.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
 
 

@@ -8,7 +8,7 @@ are at the best on all three counts at once (crawl status, confidence, recency)
 others only break ties among fields without such claims, as a tier of unbounded weight would.
 
 Unusable values (missing, blank, placeholder; a price without an amount) never vote. Ties of support
-go to the smaller text. Groups are those of problem 7. All steps are algebraic aggregates over claims
+go to the shorter, then the smaller text. Groups are those of problem 7. All steps are algebraic aggregates over claims
 that are pre-aggregated by (group, field, value, class); no group is ever gathered in one task."""
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.llm.common import skewless_lookup
 from rosterlake.llm.p7_formatting import FIELDS as KEY_FIELDS
 from rosterlake.llm.p7_formatting import members
 from rosterlake.session import drop_work, materialise, table
@@ -60,9 +61,9 @@ def claims_of(listings: DataFrame, member: DataFrame) -> DataFrame:
     rows = listings.select("listing_id", *trust(), F.array_compact(fields).alias("fs")).join(member, "listing_id")
     rows = materialise(rows.select("kept_id", "listing_id", "t_status", "t_conf", "t_when", F.explode("fs").alias("f"))
                        .select(F.col("kept_id").alias("first_id"), "listing_id", "t_status", "t_conf", "t_when", "f.field_no", "f.value"), "p2r")
-    best = rows.groupBy("first_id", "field_no").agg(F.max("t_status").alias("b_status"), F.max("t_conf").alias("b_conf"), F.max("t_when").alias("b_when"))
+    best = rows.groupBy("first_id", "field_no").agg(F.max("t_status").alias("b_status"), F.max("t_conf").alias("b_conf"), F.max("t_when").alias("b_when"), F.count("*").alias("n"))
     top = (F.col("t_status") == F.col("b_status")) & (F.col("t_conf") == F.col("b_conf")) & (F.col("t_when") == F.col("b_when"))
-    marked = rows.join(best, ["first_id", "field_no"]).withColumn("top", top.cast("int"))
+    marked = skewless_lookup(rows, materialise(best, "p2b"), ["first_id", "field_no"], "n").withColumn("top", top.cast("int"))
     out = marked.groupBy("first_id", "field_no", "value", (F.col("t_status") * 4 + F.col("t_conf")).alias("class"), "top").agg(
         F.count("*").alias("n"), F.min("listing_id").alias("least_id"))
     out = materialise(out, "p2c")
@@ -70,13 +71,14 @@ def claims_of(listings: DataFrame, member: DataFrame) -> DataFrame:
     return out
 
 
-def discover(claims: DataFrame, rounds: int = 8, tolerance: float = 1e-3) -> DataFrame:
+def discover(claims: DataFrame, tolerance: float = 1e-3, patience: int = 100) -> DataFrame:
     """The believed value per group and field, with support; reliabilities by fixed-point iteration.
 
-    Only the reliability of the (at most eight) classes passes through the driver."""
+    Only the reliability of the (at most eight) classes passes through the driver. If the reliabilities
+    have not settled after ``patience`` rounds, the result would be arbitrary: that is an error."""
     weight = {c: 0.5 for c in range(8)}
     truth = None
-    for _ in range(rounds):
+    for _ in range(patience):
         w = F.lit(0.0)
         for c, x in weight.items():
             w = F.when(F.col("class") == c, F.lit(float(x))).otherwise(w)
@@ -84,24 +86,25 @@ def discover(claims: DataFrame, rounds: int = 8, tolerance: float = 1e-3) -> Dat
             F.sum(F.when(F.col("top") == 1, F.col("w")).otherwise(0.0)).alias("s_top"), F.sum("w").alias("s_all"),
             F.max("top").alias("has_top"), F.min(F.when(F.col("top") == 1, F.col("least_id"))).alias("top_id"), F.min("least_id").alias("any_id"),
             *[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(8)])
-        votes = votes.withColumn("support", F.struct(F.round("s_top", 9), F.round("s_all", 9)))
-        # largest support; the smaller text on a tie
-        pick = votes.groupBy("first_id", "field_no").agg(
-            F.max(F.struct("support", F.struct((-F.length("value")).alias("l"), F.expr("-xxhash64(value)").alias("h"), F.col("value").alias("value"), "top_id", "any_id", *[f"n{c}" for c in range(8)]).alias("v"))).alias("best"),
-            F.sum("has_top").alias("top_values"), F.sum("s_all").alias("mass"), *[F.sum(f"n{c}").alias(f"t{c}") for c in range(8)])
+        # largest support; the shorter, then the smaller text on a tie
+        counts = [f"n{c}" for c in range(8)]
+        best = F.min(F.struct((-F.round("s_top", 9)).alias("s_top"), (-F.round("s_all", 9)).alias("s_all"), F.length("value").alias("l"), F.col("value").alias("value"), "top_id", "any_id", *counts))
+        pick = votes.groupBy("first_id", "field_no").agg(best.alias("best"), F.sum("has_top").alias("top_values"), F.sum("s_all").alias("mass"), *[F.sum(c).alias(f"t{c[1:]}") for c in counts])
         if truth is not None:
             drop_work(truth)
         truth = materialise(pick, "p2t")
-        row = truth.agg(*[F.sum(f"best.v.n{c}").alias(f"a{c}") for c in range(8)], *[F.sum(f"t{c}").alias(f"t{c}") for c in range(8)]).first()
+        row = truth.agg(*[F.sum(f"best.n{c}").alias(f"a{c}") for c in range(8)], *[F.sum(f"t{c}").alias(f"t{c}") for c in range(8)]).first()
         new = {c: ((row[f"a{c}"] or 0) + 1.0) / ((row[f"t{c}"] or 0) + 2.0) for c in range(8)}
         moved = max(abs(new[c] - weight[c]) for c in range(8))
         weight = new
         if moved < tolerance:
             break
-    source = F.coalesce(F.col("best.v.top_id"), F.col("best.v.any_id"))
+    else:
+        raise RuntimeError(f"source reliabilities still move by {moved} after {patience} rounds")
+    source = F.coalesce(F.col("best.top_id"), F.col("best.any_id"))
     name = F.element_at(F.array(*[F.lit(f) for f in RESOLVED]), F.col("field_no") + 1)
-    return truth.select("first_id", name.alias("field_name"), F.col("best.v.value").alias("value"), source.alias("source_id"),
-                        (F.col("best.support.col2") / F.col("mass")).alias("support"), "top_values")
+    return truth.select("first_id", name.alias("field_name"), F.col("best.value").alias("value"), source.alias("source_id"),
+                        (-F.col("best.s_all") / F.col("mass")).alias("support"), "top_values")
 
 
 def resolve(spark, sf_dir: str) -> DataFrame:

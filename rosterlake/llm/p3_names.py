@@ -9,7 +9,7 @@ and typos match at a cost; a letter mistyped as one that is not its neighbour on
 twice. Accepted links are closed by connected components.
 
 Two near spellings are a name and its typo only if the rarer one is as rare as a typo would be
-(``TYPO_SHARE`` of the more frequent one, plus one); repeats of one spelling within one organisation
+(``common.TYPO_SHARE`` of the more frequent one, plus one); repeats of one spelling within one organisation
 count once. Two edits, or a typo in each of two names, are enough only within one organisation.
 
 A first name given as an initial joins the person of exactly that family whom it fits, if there is one
@@ -29,26 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, skewless_lookup
+from rosterlake.llm.common import components, pairs_within, rare_enough, skewless_lookup
 from rosterlake.llm.name_parts import INF, deletes, given_keys, org_cost, osa, parse_org, parse_person, person_cost
 from rosterlake.operators.packed import split_packed
 from rosterlake.session import drop_work, materialise, table
 
-#: Share of the mentions of a name that bear one certain typo, at most.
-TYPO_SHARE = 1 / 500
-#: Rows of an entity that one task pairs with others at a time.
-PAIR_BLOCK = 2_000
-
-
 def _most(token: str) -> int:
     return 2 if len(token) >= 7 else 1 if len(token) >= 4 else 0
 
 
-def rare_enough(a: str, b: str) -> str:
-    """SQL condition: the rarer of two spellings is as rare as a typo of the other."""
-    return f"least({a}, {b}) <= 1 + {TYPO_SHARE} * greatest({a}, {b})"
-
-
 def near_tokens(tokens: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of tokens (column ``tok``, unique) within the edits their length allows.
 
@@ -231,17 +220,6 @@ def initials(forms: DataFrame, member: DataFrame, person: DataFrame, placed: Dat
     return sure.unionByName(near).unionByName(lone).select("row_id", "person")
 
 
-def entity_pairs(member: DataFrame, id_col: str, entity: str) -> DataFrame:
-    """Distinct pairs ``row_a < row_b`` of rows that share an entity. The rows of a large entity are paired
-    block by block, so that no task holds more than ``PAIR_BLOCK`` times the entity's rows."""
-    m = member.select(F.col(id_col).alias("r"), F.col(entity).alias("e"))
-    sizes = materialise(m.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int")), "p3n")
-    m = skewless_lookup(m, sizes, ["e"], "n")
-    left = m.select(F.col("r").alias("row_a"), "e", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int").alias("k"))
-    right = m.select(F.col("r").alias("row_b"), "e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    return left.join(right, ["e", "k"]).where("row_a < row_b").select("row_a", "row_b").distinct()
-
-
 def entities(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Organisations ``row_id, org`` and persons ``row_id, person`` of the lists."""
     src = table(spark, sf_dir, "san_diego").select("row_id", "vendor_name", "instructor_names", "source_url")
@@ -252,8 +230,8 @@ def entities(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def p3_found(spark, sf_dir: str) -> DataFrame:
     """``row_a, row_b, field_name``: rows that name the same organisation or a same person."""
     orgs, persons = entities(spark, sf_dir)
-    a = entity_pairs(orgs, "row_id", "org").withColumn("field_name", F.lit("vendor_name"))
-    b = entity_pairs(persons, "row_id", "person").withColumn("field_name", F.lit("instructor_names"))
+    a = pairs_within(orgs, "row_id", "org").distinct().withColumn("field_name", F.lit("vendor_name"))
+    b = pairs_within(persons, "row_id", "person").distinct().withColumn("field_name", F.lit("instructor_names"))
     return a.unionByName(b)
 
 

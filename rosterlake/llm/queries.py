@@ -12,7 +12,9 @@ def _collect(kind: str) -> dict:
     for name in _MODULES:
         try:
             module = importlib.import_module(f"rosterlake.llm.{name}")
-        except ModuleNotFoundError:
+        except ModuleNotFoundError as e:
+            if e.name != f"rosterlake.llm.{name}":  # the module is there but lacks a dependency
+                raise
             continue
         out |= getattr(module, kind, {})
     return out
