@@ -7,8 +7,9 @@ word, and loopy message passing over both makes the labels of a document consist
 
 Unary, chain and skip factors are trained piecewise (each normalised by itself) on a bounded sample
 of texts (SAMPLE_DOCS, a documented parameter) labelled by the words around each candidate; candidates
-that no rule labels take part unlabelled. The lexicon (frequent capitalised words, city stems) is
-counted over all texts. Labels other than ``O`` give the spans; a check keeps a label only on a
+that no rule labels take part unlabelled. The lexicon (given names, frequent capitalised words, city
+stems) is counted over all texts: a given name is a word that mostly stands before another capitalised
+word, before many different ones, and before such as mostly follow few. Labels other than ``O`` give the spans; a check keeps a label only on a
 candidate whose form allows it.
 
 Null and empty texts have no spans. Positions are code points of the whole text, never a prefix."""
@@ -24,15 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm.p8_tokens import spread
-from rosterlake.llm.pii_spans import LABELS, candidates, context, lexicon_counts, link_key
+from rosterlake.llm.pii_spans import GIVEN, LABELS, NOT_GIVEN, Lexicon, candidates, context, lexicon_counts, link_key
 from rosterlake.session import materialise, table
 
 #: Texts of the training sample (those with the least id hashes).
 SAMPLE_DOCS = 3_000
-#: Capitalised words in more than this share of the texts aren't family names.
+#: Capitalised words in more than this share of the texts are family names only if given names precede them.
 COMMON_SHARE = 0.003
-#: Most city stems kept, by count; a stem needs at least three texts.
-MOST_STEMS = 50_000
+#: City stems and given names in a smaller share of the texts are left out, which bounds both lists: a word
+#: above a share s of the texts is one of at most (words per text) / s.
+LEAST_SHARE = 1 / 200_000
+#: A city stem stands before a state in at least this share of the texts that have it.
+STEM_RATE = 0.05
+#: A follower that takes one word before it in at least this share of its occurrences is its own.
+OWN_SHARE = 0.1
 SLOTS = 1 << 15
 _L = len(LABELS)
 _NAME_FORMS = ("given family", "family, given", "initial family", "title family", "family, initial")
@@ -81,14 +87,14 @@ def weak_label(text: str, a: int, b: int, kind: str) -> int:
 class Units:
     """Candidates of a batch of texts as arrays: features, chain and skip edges."""
 
-    def __init__(self, texts: list, stems: set[str], common: set[str]):
+    def __init__(self, texts: list, lex: Lexicon):
         self.doc, self.start, self.end, self.kind, feats, self.weak = [], [], [], [], [], []
         chain, skip = [], []
         for d, t in enumerate(texts):
             if not t:
                 continue
             last_end, seen = None, {}
-            for a, b, kind in candidates(t, stems, common):
+            for a, b, kind in candidates(t, lex):
                 i = len(self.doc)
                 self.doc.append(d), self.start.append(a), self.end.append(b), self.kind.append(kind)
                 feats.append(features(t, a, b, kind))
@@ -179,38 +185,48 @@ def infer(units: Units, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray
     return belief().argmax(1)
 
 
-def lexicon(docs: DataFrame, text_col: str) -> tuple[set[str], set[str]]:
-    """(city stems, common capitalised words), counted over all texts; both are bounded: a word above a
-    share s of the texts is one of at most (words per text) / s, stems are at most MOST_STEMS."""
+def lexicon(docs: DataFrame, text_col: str) -> Lexicon:
+    """City stems, given names and common words, counted over all texts; all three are bounded by shares.
+    Rates are taken as (k + 1) / (n + 2), so few occurrences prove little."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = lexicon_counts(t for t in pdf["t"] if isinstance(t, str))
-            yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()] + [("docs", "", len(pdf))], columns=["k", "w", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in c.items()] + [("docs", "", "", len(pdf))], columns=["k", "w", "f", "n"])
 
-    counts = materialise(docs.select(F.col(text_col).alias("t")).mapInPandas(run, "k string, w string, n bigint").groupBy("k", "w").agg(F.sum("n").alias("n")), "p10l")
+    counts = materialise(docs.select(F.col(text_col).alias("t")).mapInPandas(run, "k string, w string, f string, n bigint").groupBy("k", "w", "f").agg(F.sum("n").alias("n")), "p10l")
+    of = lambda kind, name: counts.where(F.col("k") == kind).select("w", F.col("n").alias(name))
     total = counts.where("k = 'docs'").agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("k") == "cap").where(F.col("n") > max(10, COMMON_SHARE * total)).select("w")
-    stems = counts.where("k = 'stem' AND n >= 3").orderBy(F.desc("n"), "w").limit(MOST_STEMS).select("w")
-    s = {r.w for r in stems.collect()}
-    return s, {r.w for r in common.collect()} - s
+    df, occ = of("cap", "df"), of("occ", "occ")
+    pairs = counts.where("k = 'pair'").select("w", "f", "n")
+    # followers that are a word's own, of all its followers
+    told = pairs.join(occ.select(F.col("w").alias("f"), F.col("occ").alias("of")), "f").groupBy("w").agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.when(F.col("n") >= OWN_SHARE * F.col("of"), F.col("n")).otherwise(0)).alias("own"))
+    rate = lambda a, b: (F.col(a) + 1) / (F.col(b) + 2)
+    given = told.join(occ, "w").join(df, "w").where(F.col("df") >= LEAST_SHARE * total).where((rate("n", "occ") >= 0.6) & (rate("kinds", "n") >= 0.6) & (rate("own", "n") >= 0.7))
+    given = {r.w for r in given.select("w").collect()} - NOT_GIVEN
+    stems = {r.w for r in of("stem", "n").where(F.col("n") >= LEAST_SHARE * total).join(df, "w").where(rate("n", "df") >= STEM_RATE).select("w").collect()}
+    common = df.where(F.col("df") > COMMON_SHARE * total)
+    # a frequent word that mostly follows given names or titles is a family name
+    named = pairs.where(F.col("w").isin(*sorted(given | GIVEN))).unionByName(counts.where("k = 'titled'").select("w", "f", "n")).groupBy(F.col("f").alias("w")).agg(F.sum("n").alias("n")).join(occ, "w").where(rate("n", "occ") >= 0.5)
+    return Lexicon(stems, given, {r.w for r in common.join(named.select("w"), "w", "left_anti").select("w").collect()} - stems)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start_pos, end_pos, pii_type`` of every span in every text."""
     docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    stems, common = lexicon(docs, "t")
+    lex = lexicon(docs, "t")
     sample = docs.where("t IS NOT NULL AND t <> ''").withColumn("h", F.xxhash64("i")).orderBy("h", "i").limit(SAMPLE_DOCS).select("t")
-    model = train(Units([r.t for r in sample.collect()], stems, common))
-    shared = docs.sparkSession.sparkContext.broadcast((stems, common, model))
+    model = train(Units([r.t for r in sample.collect()], lex))
+    shared = docs.sparkSession.sparkContext.broadcast((lex, model))
     kind = docs.schema["i"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, c, (weights, chain, skip) = shared.value
+        lex, (weights, chain, skip) = shared.value
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
-                units = Units([t if isinstance(t, str) else None for t in part["t"]], s, c)
+                units = Units([t if isinstance(t, str) else None for t in part["t"]], lex)
                 label = infer(units, weights, chain, skip)
                 ids = part["i"].to_numpy()
                 rows = [(ids[d], a, b, LABELS[y]) for d, a, b, k, y in zip(units.doc, units.start, units.end, units.kind, label)

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from bisect import bisect_left, insort
 
-from rosterlake.llm.address_parts import STATES, STREET_TYPES, UNIT_WORDS
+from rosterlake.llm.address_parts import CITY_PREFIXES, DIRECTIONS, NAME_PREFIXES, STREET_TYPES, UNIT_WORDS
 from rosterlake.llm.name_parts import NICKNAMES, TITLES, TRADE_WORDS, plain
 
 LABELS = ("O", "email", "phone", "id_number", "address", "person_name")
-# Given names without a short form above, and words of titles in English and Spanish.
-MORE_GIVEN = ("andre", "dwayne", "hector", "ingrid", "irene", "oscar", "quentin", "renee", "yvonne", "zoe", "maria", "juan", "carlos", "luis", "ana", "david",
-              "mark", "paul", "george", "linda", "nancy", "karen", "laura", "sarah", "emily", "peter", "kevin", "brian", "eric", "jason", "ryan", "sandra", "betty", "helen", "donna",
-              "carol", "ruth", "sharon", "michelle", "amanda", "melissa", "angela", "amy", "anna", "kelly", "diane", "julie", "joyce", "heather", "teresa", "gloria", "evelyn", "jean",
-              "alice", "martha", "frances", "ann", "marie", "janet", "catherine", "henry", "walter", "arthur", "albert", "roger", "ralph", "eugene", "louis", "philip", "bruce", "alan",
-              "antonio", "manuel", "pedro", "miguel", "jorge", "roberto", "ricardo", "fernando", "rosa", "carmen", "elena", "lucia", "sofia")
-GIVEN = set(NICKNAMES) | {s for v in NICKNAMES.values() for s in v.split()} | set(MORE_GIVEN)
+#: Given names that are known beforehand; the corpus adds its own (``p10_pii.lexicon``).
+GIVEN = frozenset(NICKNAMES) | frozenset(s for v in NICKNAMES.values() for s in v.split())
+# Words of titles in English and Spanish.
 TITLE_WORDS = set(TITLES) | {"instructor", "instructora", "sheriff", "sr", "sra", "srta"}
 
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)"
@@ -36,7 +32,7 @@ _STREET = (rf"(?:(?:State\s+(?:Route|Hwy\.?|Highway)|SR|Hwy\.?|Highway|Route)\s+
            rf"|(?:{_DIR}\s+)?(?:(?:Mt|Mount|Saint|St|Ft|Fort)\b\.?\s+)?{_NAME}(?:\s+{_NAME})?\s+(?:{_TYPES})\b\.?)(?:\s+{_DIR}(?!\w))?")
 _CITY_HEAD = r"(?:(?:New|Port|Los|Rancho|Las|San|Santa|El|La|North|South|East|West|Mount|Fort|Saint|St\.?|Mt\.?|Ft\.?)\s+)?"
 _CITY = rf"{_CITY_HEAD}(?P<stem>{_NAME})(?:\s+Springs|-by-the-Sea)?"
-ADDRESS = re.compile(rf"(?<![\w#$/.\-,])(?P<num>\d{{1,2}},\d{{3}}|\d{{2,6}})\s+(?P<street>{_STREET})(?P<unit>{_UNIT})?", re.I)
+ADDRESS = re.compile(rf"(?<![\w#$/.\-,])(?:(?:\d{{1,2}},\d{{3}}|\d{{2,6}})\s+|\d[  ]+)(?P<street>{_STREET})(?P<unit>{_UNIT})?", re.I)
 _CITY_AFTER = re.compile(rf"(?P<sep>[,;]?\s*(?:-\s)?){_CITY}(?:(?P<state>,?\s*{_STATE})(?P<zip>,?\s*\d{{5}}(?:-\d{{4}})?(?!\d))?|(?P<zip2>,?\s*\d{{5}}(?:-\d{{4}})?(?!\d)))?(?P<unit2>{_UNIT})?", re.I)
 _STATE_AFTER = re.compile(rf",?\s*(?:{_STATE})(?:,?\s*\d{{5}}(?:-\d{{4}})?(?!\d))?|,?\s*9\d{{4}}(?:-\d{{4}})?(?!\d)", re.I)
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’]|-(?=[^\W\d_]))*\.?|\d[\w.,/\-]*|[^\w\s]")
@@ -44,40 +40,57 @@ _STEM = re.compile(rf"(?:,|\n|\s)\s*{_CITY_HEAD}({_NAME})(?:\s+Springs|-by-the-S
 _CAP = re.compile(r"(?<![\w])[^\W\d_a-zà-ÿ][\w'’\-]+")
 
 
-def lexicon_counts(texts) -> dict[tuple[str, str], int]:
-    """How many of the texts have each capitalised word (``cap``) and each city stem before a state (``stem``)."""
-    out: dict[tuple[str, str], int] = {}
+_AHEAD = re.compile(r"(?=(?<![\w'’\-])([^\W\d_a-zà-ÿ][^\W\d_'’\-]+)(?: [^\W\d_a-zà-ÿ]\.?)? ([^\W\d_a-zà-ÿ][\w'’\-]+))")
+_TITLED = re.compile(rf"(?<![\w'’\-])((?i:{'|'.join(sorted(TITLE_WORDS, key=len, reverse=True))}))\.? ([^\W\d_a-zà-ÿ][\w'’\-]+)")
+#: Words that stand before capitalised words without being given names.
+NOT_GIVEN = frozenset(TITLE_WORDS) | frozenset(DIRECTIONS) | frozenset(NAME_PREFIXES) | frozenset(CITY_PREFIXES)
+
+
+def lexicon_counts(texts) -> dict[tuple[str, str, str], int]:
+    """How many of the texts have each capitalised word (``cap``) and each city stem before a state (``stem``);
+    how often a capitalised word occurs (``occ``), is followed by a certain other one (``pair``) and follows
+    a certain title (``titled``)."""
+    out: dict[tuple[str, str, str], int] = {}
     for t in texts:
         if not t:
             continue
-        for k in {("cap", w.lower()) for w in _CAP.findall(t)} | {("stem", w.lower()) for w in _STEM.findall(t)}:
+        caps = [w.lower() for w in _CAP.findall(t)]
+        for k in {("cap", w, "") for w in caps} | {("stem", w.lower(), "") for w in _STEM.findall(t)}:
+            out[k] = out.get(k, 0) + 1
+        for k in [("occ", w, "") for w in caps] + [("pair", w.lower(), f.lower()) for w, f in _AHEAD.findall(t)] + [("titled", w.lower(), f.lower()) for w, f in _TITLED.findall(t)]:
             out[k] = out.get(k, 0) + 1
     return out
 
 
-@lru_cache(maxsize=200_000)
-def _given(word: str) -> bool:
-    return plain(word) in GIVEN
+class Lexicon:
+    """What is known about words from all texts: city stems, given names, and words too common for a family name."""
+
+    def __init__(self, stems: set[str], given: set[str], common: set[str]):
+        self.stems, self.given, self.common = stems, given, common
+
+    def is_given(self, word: str) -> bool:
+        return plain(word) in GIVEN or word.lower() in self.given
 
 
 def _initial(w: str) -> bool:
     return len(w.rstrip(".")) == 1 and w[0].isalpha() and w[0].isupper()
 
 
-def names(text: str, taken: list[tuple[int, int]], common: set[str]) -> list[tuple[int, int, str]]:
+def names(text: str, taken: list[tuple[int, int]], lex: Lexicon) -> list[tuple[int, int, str]]:
     """Spans of names of people: (start, end, form)."""
     toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     out, used = [], -1
     busy = iter(sorted(taken))
     cur = next(busy, None)
     n = len(toks)
+    common, _given = lex.common, lex.is_given
 
     def family(i: int) -> bool:
         if i >= n:
             return False
         w = toks[i][0]
         bare = w.rstrip(".")
-        return len(bare) > 2 and bare[0].isupper() and bare[0].isalpha() and bare.lower() not in common and plain(bare) not in TRADE_WORDS and (w == bare or True)
+        return len(bare) > 2 and bare[0].isupper() and bare[0].isalpha() and bare.lower() not in common and plain(bare) not in TRADE_WORDS
 
     def near(i: int) -> bool:  # token i+1 follows token i on the same line
         return i + 1 < n and "\n" not in text[toks[i][2]:toks[i + 1][1]] and toks[i + 1][1] - toks[i][2] <= 2
@@ -123,13 +136,14 @@ def names(text: str, taken: list[tuple[int, int]], common: set[str]) -> list[tup
                 while near(j) and _initial(toks[j + 1][0]):
                     j += 1
                 used = close(j, toks[i + 1][1], "family, given")
-            else:
-                used = close(i + 1, toks[i + 1][1], "title family")
+            else:  # after a title an unknown given name and a family name, or a family name alone
+                both = near(i + 1) and not toks[i + 1][0].endswith(".") and not text[toks[i + 1][2]:toks[i + 2][1]].strip() and family(i + 2)
+                used = close(i + 2 if both else i + 1, toks[i + 1][1], "title family")
     return out
 
 
-def addresses(text: str, stems: set[str], common: set[str]) -> list[tuple[int, int]]:
-    out = []
+def addresses(text: str, lex: Lexicon) -> list[tuple[int, int]]:
+    out, stems, common = [], lex.stems, lex.common
     for m in ADDRESS.finditer(text):
         if out and m.start() < out[-1][1]:
             continue
@@ -160,25 +174,26 @@ def addresses(text: str, stems: set[str], common: set[str]) -> list[tuple[int, i
     return out
 
 
-def candidates(text: str, stems: set[str], common: set[str]) -> list[tuple[int, int, str]]:
+def candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """Non-overlapping candidate spans (start, end, matcher), in order."""
     spans: list[tuple[int, int, str]] = []
     if "@" in text or "at" in text:
         spans += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    taken = [(a, b) for a, b, _ in spans]
+    taken = sorted((a, b) for a, b, _ in spans)
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    def free(a: int, b: int) -> bool:  # the spans taken don't overlap, so only the neighbours count
+        i = bisect_left(taken, (a, a))
+        return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
 
-    for a, b in addresses(text, stems, common):
+    for a, b in addresses(text, lex):
         if free(a, b):
             spans.append((a, b, "address"))
-            taken.append((a, b))
+            insort(taken, (a, b))
     for m in PHONE.finditer(text):
         digits = re.sub(r"\D", "", m.group())
         if len(digits) in (10, 11) and free(*m.span()):
             spans.append((*m.span(), "phone"))
-            taken.append(m.span())
+            insort(taken, m.span())
     for m in ID.finditer(text):
         if free(*m.span()):
             g = m.group()
@@ -188,8 +203,8 @@ def candidates(text: str, stems: set[str], common: set[str]) -> list[tuple[int,
             kind = "ssn" if len(d) == 9 and g[0].isdigit() else "licence" if re.fullmatch(r"[A-Z][ \-]?\d{7}", g) else "permit8" if re.fullmatch(r"P\d{8}", g) else \
                 "permit/" if "/" in g else "code " + re.match(r"[A-Z]*", g).group()
             spans.append((*m.span(), kind))
-            taken.append(m.span())
-    spans += names(text, taken, common)
+            insort(taken, m.span())
+    spans += names(text, taken, lex)
     return sorted(spans)
 
 
