@@ -259,9 +259,9 @@ def test_p10_spans_and_redaction(spark, tmp_path):
 def test_p10_given_names_from_the_corpus(spark, tmp_path):
     families = ["Huberland", "Twumpall", "Klarsen", "Brodinsk", "Veskamp", "Moltrau"]
     docs = [{"doc_id": i, "text": f"Please ask for Wolfgang {f} at the gate."} for i, f in enumerate(families)]
-    docs += [{"doc_id": 10 + i, "text": f"Granitewall {w} is open; the {w} has a gate."} for i, w in enumerate(["Terrace", "Shooting", "Academy", "Terrace"])]
+    docs += [{"doc_id": 100 + i, "text": f"{v}wall {w} is open."} for i, (v, w) in enumerate((v, w) for v in ("Granite", "Oak", "Moss", "Iron", "Flint", "Fern", "Elder", "Birch", "Coral", "Amber", "Plum", "Rush") for w in ("Terrace", "Shooting", "Academy"))]
     docs += [{"doc_id": 20, "text": "We meet at 5 Oakhill St, Elmmont, CA 93012 on Monday."}, {"doc_id": 21, "text": None}, {"doc_id": 22, "text": ""}]
     got = run(spark, tmp_path, "p10_found", documents=docs)
     at = len("Please ask for ")
     assert {(i, at, at + len("Wolfgang ") + len(f), "person_name") for i, f in enumerate(families)} <= got
-    assert not {x for x in got if 10 <= x[0] < 20 or x[0] > 20} and {x[3] for x in got if x[0] == 20} == {"address"}
+    assert not {x for x in got if x[0] > 20} and {x[3] for x in got if x[0] == 20} == {"address"}
