@@ -54,3 +54,59 @@ def slug_similarity(a: Column, b: Column, drop: tuple[str, ...] = ("llc", "inc",
     """0.55 x Jaccard of slug parts (legal forms dropped) + 0.45 x sequence ratio."""
     parts = lambda c: F.filter(F.split(c, "-"), lambda x: ~x.isin(*drop) & (x != ""))
     return 0.55 * jaccard(parts(a), parts(b)) + 0.45 * sequence_ratio_udf(a, b)
+
+
+def candidate_ids(raw: Column, most: int = 5) -> Column:
+    """The first ``most`` distinct ids of a list joined by commas or bars, in order."""
+    ids = F.filter(F.transform(F.split(raw, "[,|]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.slice(F.array_distinct(ids), 1, most)
+
+
+def key_overlap(a: Column, b: Column) -> Column:
+    """Common distinct words of two keys over the larger set; 0 if one has none."""
+    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
+
+
+def place_score(row: dict[str, Column], cand: dict[str, Column]) -> tuple[Column, Column]:
+    """(score, reasons joined by ``|``) of a candidate place for a row.
+
+    Both sides have ``phone`` (digits), ``domain`` and ``name`` and ``address`` as folded keys; the row
+    has ``city`` and ``state`` as well. Empty texts say nothing; a null counts as empty."""
+    r, c = ({k: F.coalesce(v, F.lit("")) for k, v in side.items()} for side in (row, cand))
+    name, addr = key_overlap(r["name"], c["name"]), key_overlap(r["address"], c["address"])
+    both = lambda k: (r[k] != "") & (c[k] != "")
+    # Points and names of the evidence; the first that holds of each line counts
+    parts = [
+        [(both("phone") & (r["phone"] == c["phone"]), 45, "exact_phone_match"), (both("phone"), -15, "phone_conflict")],
+        [(both("domain") & (r["domain"] == c["domain"]), 25, "website_domain_match"), (both("domain"), -8, "website_domain_conflict")],
+        [(name >= 0.85, 25, "strong_name_similarity"), (name >= 0.6, 16, "moderate_name_similarity"), (name > 0, 6, "weak_name_overlap"), (F.lit(True), -15, "name_mismatch")],
+        [((r["city"] != "") & c["address"].contains(r["city"]), 10, "city_match"), (r["city"] != "", -7, "city_mismatch")],
+        [((r["state"] != "") & c["address"].contains(r["state"]), 6, "state_match"), (r["state"] != "", -5, "state_mismatch")],
+        [((r["address"] != "") & (addr >= 0.6), 12, "address_proximity_strong"), ((r["address"] != "") & (addr >= 0.35), 6, "address_proximity_partial")],
+    ]
+    score, reasons = F.lit(0), []
+    for line in parts:
+        points, why = F.lit(0), F.lit(None).cast("string")
+        for cond, p, text in reversed(line):
+            points, why = F.when(cond, F.lit(p)).otherwise(points), F.when(cond, F.lit(text)).otherwise(why)
+        score, reasons = score + points, [*reasons, why]
+    return score, F.array_join(F.array_compact(F.array(*reasons)), "|")
+
+
+def demoted(confidence: Column, margin: Column, least: float = 10) -> Column:
+    """High confidence becomes medium where the runner-up is too close."""
+    return F.when((confidence == "high") & (margin < least), F.lit("medium")).otherwise(confidence)
+
+
+def retryable(message: Column) -> Column:
+    """Whether an error text tells of overload, a limit, a time-out or a passing failure; null is not."""
+    # Parts of messages of errors that may pass
+    return F.coalesce(F.lower(message).rlike(r"overloaded|529|rate_limit|timeout|temporarily unavailable"), F.lit(False))
+
+
+def count_delta(found: Column, expected: Column) -> Column:
+    """``over``, ``under`` or ``exact match`` with the signed difference; null where nothing is expected."""
+    d = found - expected
+    label = F.when(d > 0, "over").when(d < 0, "under").otherwise("exact match")
+    return F.when(d.isNotNull(), F.concat(label, F.lit(" "), F.format_string("%+d", d)))

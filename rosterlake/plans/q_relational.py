@@ -9,7 +9,6 @@ from rosterlake.functions import contacts as C
 from rosterlake.functions import scoring as S
 from rosterlake.functions import text as X
 from rosterlake.operators import dedupe, match, merge, quality, report
-from rosterlake.plans.q_text import BLOCKED as PORTALS
 from rosterlake.session import table
 
 
@@ -123,13 +122,20 @@ def domain_best_source(spark, d):
 
 
 def candidate_rank_margin(spark, d):
-    """Place rows of one county and e-mail domain as candidates of a listing, ranked by agreement."""
-    m = table(spark, d, "marin").select("listing_id", C.phone_digits(F.col("phone")).alias("p"), C.host(F.col("website_url")).alias("host"), X.listing_key(F.col("vendor_name")).alias("n")).where("host IS NOT NULL").where(~F.col("host").isin(*PORTALS))
-    v = table(spark, d, "vendors_placeid_smoke_out").select("row_id", C.phone_digits(F.col("phone")).alias("vp"), C.host(F.col("website_url")).alias("host"), X.listing_key(F.col("vendor_name")).alias("vn")).where("host IS NOT NULL")
-    j = m.join(v, "host")
-    score = F.lit(25.0) + F.when(F.coalesce(F.col("p") == F.col("vp"), F.lit(False)), 45.0).otherwise(0.0) + F.when(F.col("n") == F.col("vn"), 25.0).otherwise(0.0)
-    ranked = match.rank_candidates(j.withColumn("score", score).select("listing_id", "row_id", "score"), "listing_id", "score", "row_id")
-    return ranked.where("rank <= 5").withColumn("band", S.band(F.col("score"), [(80, "high"), (58, "medium"), (35, "low")], "none"))
+    """Place rows resolved: up to five distinct candidate places of each, scored by phone, domain, name,
+    city, state and address, ranked with the margin to the next, and banded (the best one demoted where the
+    margin is small). What a place is like tells the first row that holds its id; candidates that no row
+    describes are left out."""
+    v = table(spark, d, "vendors_placeid_smoke_out")
+    keys = [C.phone_digits(F.col("phone")).alias("phone"), C.host(F.col("website_url")).alias("domain"), *[X.folded_key(F.col(c)).alias(n) for c, n in (("vendor_name", "name"), ("city", "city"), ("state", "state"), ("address", "address"))]]
+    rows = v.select("row_id", F.posexplode(S.candidate_ids(F.col("raw_candidate_place_ids"))).alias("position", "candidate"), *keys)
+    places = v.select(F.trim("google_place_id").alias("candidate"), "row_id", *keys).where("candidate <> ''")
+    first = places.groupBy("candidate").agg(F.min(F.struct("row_id", "phone", "domain", "name", "address")).alias("c"))
+    j = rows.join(first, "candidate")
+    score, why = S.place_score({k: F.col(k) for k in ("phone", "domain", "name", "city", "state", "address")}, {k: F.col(f"c.{k}") for k in ("phone", "domain", "name", "address")})
+    ranked = match.rank_candidates(j.select("row_id", "candidate", "position", score.cast("double").alias("score"), why.alias("reasons")), "row_id", "score", "position")
+    band = S.demoted(S.band(F.col("score"), [(80, "high"), (58, "medium"), (35, "low")], "none"), F.when(F.col("rank") == 1, F.col("margin")).otherwise(F.lit(999.0)))
+    return ranked.withColumn("band", band)
 
 
 def _representatives(v, col):
@@ -305,6 +311,22 @@ _SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _KEY = "lower(trim(vendor_name, ' '))"
 _ASCII = _SP.format(r"regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")
 _HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(regexp_replace(website_url, '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\.', ''), '')"
+
+
+def _fold(c: str) -> str:
+    """The SQL of ``text.folded_key``."""
+    out = f"lower(coalesce({c}, ''))"
+    for letter, plain in X.LATIN:
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+def _overlap(a: str, b: str) -> str:
+    """The SQL of ``scoring.key_overlap``."""
+    x, y = f"list_distinct(string_split({a}, ' '))", f"list_distinct(string_split({b}, ' '))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE len(list_filter({x}, lambda t: list_contains({y}, t)))::DOUBLE / greatest(len({x}), len({y})) END"
+
+
 _DIG = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) = 11 AND regexp_replace({0}, '[^0-9]', '', 'g') LIKE '1%' THEN substr(regexp_replace({0}, '[^0-9]', '', 'g'), 2, 10) ELSE regexp_replace({0}, '[^0-9]', '', 'g') END"
 _SLUG = r"regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _MISS = r"coalesce(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '') IN ('', 'null', 'none', 'nan')"
@@ -349,10 +371,24 @@ SQL = {
     "domain_best_source": f"""WITH v AS (SELECT row_id, {_HOST} AS host FROM vendors_placeid_smoke_out), m AS (SELECT {_HOST} AS host, listing_id, crawl_status, price_16hr_full FROM marin),
         b AS (SELECT * FROM m WHERE host IS NOT NULL QUALIFY row_number() OVER (PARTITION BY host ORDER BY CASE WHEN coalesce(crawl_status, '') = 'success' THEN 0 ELSE 1 END, CASE WHEN price_16hr_full IS NOT NULL THEN 0 ELSE 1 END, listing_id) = 1)
         SELECT row_id, v.host, listing_id, crawl_status FROM v LEFT JOIN b USING (host) WHERE v.host IS NOT NULL""",
-    "candidate_rank_margin": f"""WITH m AS (SELECT listing_id, {_DIG.format('phone')} AS p, {_HOST} AS host, {_KEY} AS n FROM marin), v AS (SELECT row_id, {_DIG.format('phone')} AS vp, {_HOST} AS host, {_KEY} AS vn FROM vendors_placeid_smoke_out),
-        j AS (SELECT listing_id, row_id, 25.0 + CASE WHEN coalesce(p = vp, false) THEN 45.0 ELSE 0.0 END + CASE WHEN n = vn THEN 25.0 ELSE 0.0 END AS score FROM m JOIN v USING (host) WHERE host NOT IN ('facepages.example', 'rangebook.example', 'classfinder.example')),
-        r AS (SELECT *, row_number() OVER w AS rank, coalesce(score - lead(score) OVER w, 999.0) AS margin FROM j WINDOW w AS (PARTITION BY listing_id ORDER BY score DESC, row_id))
-        SELECT *, CASE WHEN score >= 80 THEN 'high' WHEN score >= 58 THEN 'medium' WHEN score >= 35 THEN 'low' ELSE 'none' END AS band FROM r WHERE rank <= 5""",
+    "candidate_rank_margin": f"""WITH k AS (SELECT row_id, trim(google_place_id, ' ') AS pid, raw_candidate_place_ids AS raw, coalesce({_DIG.format('phone')}, '') AS phone, coalesce({_HOST}, '') AS domain,
+            {_fold('vendor_name')} AS name, {_fold('city')} AS city, {_fold('state')} AS state, {_fold('address')} AS address FROM vendors_placeid_smoke_out),
+        e AS (SELECT *, list_filter(list_transform(string_split_regex(raw, '[,|]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ids FROM k WHERE raw IS NOT NULL),
+        u AS (SELECT *, list_slice(list_filter(ids, lambda x, i: list_position(ids, x) = i), 1, 5) AS five FROM e),
+        c AS (SELECT row_id, phone, domain, name, city, state, address, unnest(five) AS candidate, unnest(range(len(five))) AS position FROM u),
+        p AS (SELECT pid, phone AS cp, domain AS cd, name AS cn, address AS ca FROM k WHERE pid <> '' QUALIFY row_number() OVER (PARTITION BY pid ORDER BY row_id) = 1),
+        o AS (SELECT *, {_overlap('name', 'cn')} AS no, {_overlap('address', 'ca')} AS ao FROM c JOIN p ON candidate = pid),
+        q AS (SELECT row_id, candidate, CAST(position AS INT) AS position,
+            [CASE WHEN phone = '' OR cp = '' THEN 0 WHEN phone = cp THEN 45 ELSE -15 END, CASE WHEN domain = '' OR cd = '' THEN 0 WHEN domain = cd THEN 25 ELSE -8 END,
+             CASE WHEN no >= 0.85 THEN 25 WHEN no >= 0.6 THEN 16 WHEN no > 0 THEN 6 ELSE -15 END, CASE WHEN city = '' THEN 0 WHEN contains(ca, city) THEN 10 ELSE -7 END,
+             CASE WHEN state = '' THEN 0 WHEN contains(ca, state) THEN 6 ELSE -5 END, CASE WHEN address = '' THEN 0 WHEN ao >= 0.6 THEN 12 WHEN ao >= 0.35 THEN 6 ELSE 0 END] AS pts FROM o),
+        s AS (SELECT row_id, candidate, position, CAST(list_sum(pts) AS DOUBLE) AS score, array_to_string(list_filter([CASE pts[1] WHEN 45 THEN 'exact_phone_match' WHEN -15 THEN 'phone_conflict' END,
+            CASE pts[2] WHEN 25 THEN 'website_domain_match' WHEN -8 THEN 'website_domain_conflict' END,
+            CASE pts[3] WHEN 25 THEN 'strong_name_similarity' WHEN 16 THEN 'moderate_name_similarity' WHEN 6 THEN 'weak_name_overlap' ELSE 'name_mismatch' END,
+            CASE pts[4] WHEN 10 THEN 'city_match' WHEN -7 THEN 'city_mismatch' END, CASE pts[5] WHEN 6 THEN 'state_match' WHEN -5 THEN 'state_mismatch' END,
+            CASE pts[6] WHEN 12 THEN 'address_proximity_strong' WHEN 6 THEN 'address_proximity_partial' END], lambda x: x IS NOT NULL), '|') AS reasons FROM q),
+        r AS (SELECT *, row_number() OVER w AS rank, coalesce(score - lead(score) OVER w, 999.0) AS margin FROM s WINDOW w AS (PARTITION BY row_id ORDER BY score DESC, position))
+        SELECT *, CASE WHEN score >= 80 AND (rank > 1 OR margin >= 10) THEN 'high' WHEN score >= 58 THEN 'medium' WHEN score >= 35 THEN 'low' ELSE 'none' END AS band FROM r""",
     "token_overlap": """WITH v AS (SELECT google_place_id AS g, row_id, list_distinct(string_split(trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM vendors_placeid_smoke_out WHERE google_place_id <> '')
         SELECT a.row_id AS row_a, b.row_id AS row_b, round(100.0 * len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)), 6) AS overlap FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY row_id) = 1) a JOIN v b ON a.g = b.g AND a.row_id < b.row_id""",
     "membership_label": """SELECT job_id, run_id, CASE WHEN run_id IN (SELECT run_id FROM enrichment_jobs WHERE job_id % 7 = 0 AND run_id IS NOT NULL) THEN 'indexed' WHEN regexp_matches(run_id, '[a-f0-9]{10}$') THEN 'not_indexed' ELSE 'unknown' END AS label FROM enrichment_jobs""",
