@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,20 +43,30 @@ def blocks(text: Column) -> Column:
     return F.aggregate(numbered_lines(text), zero, step)
 
 
-def greedy_chunks(pieces: Column, limit: int, separator: int = 0) -> Column:
-    """Number of the chunk each piece falls in: a chunk closes before it would exceed ``limit``.
-
-    A resetting sum, folded over the ordered pieces; a piece longer than the limit has a chunk of its own."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, piece):
-        size = F.length(piece) + separator
-        opens = (acc["used"] > 0) & (acc["used"] + size > limit)
-        no = F.when(opens, acc["no"] + 1).otherwise(acc["no"]).cast("int")
-        used = F.when(opens, size).otherwise(acc["used"] + size).cast("int")
-        return F.struct(used.alias("used"), no.alias("no"), F.concat(acc["out"], F.array(no)).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+def chunk_sizes(df: DataFrame, id_col: str, pieces: str, limit: int, separator: int = 0) -> DataFrame:
+    """``id, chunk, n_lines, chars`` of the chunks of each row's pieces: a chunk closes before it would exceed
+    ``limit``, a longer piece has a chunk of its own.
+
+    The sum that restarts is a loop over lengths in Arrow batches: linear in the pieces, where a fold that
+    collects an array copies it at every step. Only lengths leave the engine, and nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, sizes in zip(pdf["id"], pdf["sizes"]):
+                used = no = n = 0
+                for size in sizes:
+                    if n and used + size > limit:
+                        rows.append((i, no, n, used))
+                        used, no, n = 0, no + 1, 0
+                    used, n = used + int(size), n + 1
+                if n:
+                    rows.append((i, no, n, used))
+            yield pd.DataFrame(rows, columns=[id_col, "chunk", "n_lines", "chars"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    sizes = F.transform(F.col(pieces), lambda x: F.length(x) + separator)
+    return df.select(F.col(id_col).alias("id"), sizes.alias("sizes")).mapInPandas(run, f"{id_col} {kind}, chunk int, n_lines bigint, chars bigint")
 
 
 def header_words(text: Column) -> Column:

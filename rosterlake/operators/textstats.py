@@ -17,18 +17,25 @@ from rosterlake.session import drop_work, materialise
 PASS, TILE = 8_000, 1_000
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.array_join(F.slice(toks, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def top_ngrams(df: DataFrame, text: str, sizes: tuple[int, ...], k: int) -> DataFrame:
-    """The k most frequent n-grams of each size, ties in alphabetical order.
-
-    Counts combine before the shuffle; the rank runs over one row per n-gram with a group limit."""
-    toks = tokens(F.col(text))
-    rows = df.select(F.explode(F.concat(*[F.transform(ngrams(toks, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])).alias("x")).select("x.n", "x.gram")
-    counted = rows.groupBy("n", "gram").agg(F.count("*").alias("cnt"))
-    return counted.withColumn("rnk", F.row_number().over(W.partitionBy("n").orderBy(F.desc("cnt"), "gram"))).where(F.col("rnk") <= k)
+    """The k most frequent n-grams of each size, ties in alphabetical order. Null texts have none.
+
+    Equal texts are counted first and carry their number. The n-grams are counted as 64-bit hashes of the
+    hashes of their words; only those as frequent as the k-th of their size are spelt out and ranked."""
+    texts = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("copies"))
+    texts = materialise(texts.select(tokens(F.col(text)).alias("t"), "copies"), "ngt")
+    h = F.transform("t", lambda x: F.xxhash64(x))
+    ahead = F.arrays_zip(*[F.slice("h", i + 1, F.greatest(F.size("h") - i, F.lit(0))).alias(f"h{i}") for i in range(max(sizes))])
+    rows = texts.select("t", "copies", h.alias("h")).select("t", "copies", F.posexplode(ahead).alias("at", "x"))
+    parts = [f"x.h{i}" for i in range(max(sizes))]
+    keyed = F.array_compact(F.array(*[F.when(F.col(parts[n - 1]).isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*parts[:n]).alias("key"))) for n in sizes]))
+    counted = materialise(rows.select("copies", F.explode(keyed).alias("g")).groupBy("g.n", "g.key").agg(F.sum("copies").alias("cnt")), "ngc")
+    ranked = counted.withColumn("rnk", F.row_number().over(W.partitionBy("n").orderBy(F.desc("cnt")))).where(F.col("rnk") <= k)
+    least = ranked.groupBy("n").agg(F.min("cnt").alias("least"))  # a row per size
+    kept = materialise(counted.join(F.broadcast(least), "n").where("cnt >= least").select("n", "key", "cnt"), "ngk")
+    spelt = rows.select("t", "at", F.explode(keyed).alias("g")).select("t", "at", "g.n", "g.key").join(kept, ["n", "key"])
+    spelt = spelt.select("n", "key", "cnt", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), " ").alias("gram")).groupBy("n", "key").agg(F.min("gram").alias("gram"), F.min("cnt").alias("cnt"))
+    return spelt.select("n", "gram", "cnt", F.row_number().over(W.partitionBy("n").orderBy(F.desc("cnt"), "gram")).alias("rnk")).where(F.col("rnk") <= k)
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:

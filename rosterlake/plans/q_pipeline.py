@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +41,8 @@ def block_segments(spark, d):
 
 def greedy_chunks(spark, d):
     """Lines of each document in chunks of at most 400 characters, a line break counted as one."""
-    t = table(spark, d, "documents").where("text IS NOT NULL").withColumn("lines", segments.numbered_lines(F.col("text"))).where("size(lines) > 0")
-    return t.withColumn("chunk", segments.greedy_chunks(F.col("lines"), 400, 1)).select("doc_id", F.explode(F.arrays_zip("lines", "chunk")).alias("x")).groupBy("doc_id", F.col("x.chunk").alias("chunk")).agg(
-        F.count("*").alias("n_lines"), F.sum(F.length("x.lines") + 1).alias("chars"))
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", segments.numbered_lines(F.col("text")).alias("lines")).where("size(lines) > 0")
+    return segments.chunk_sizes(t, "doc_id", "lines", 400, 1)
 
 
 def top_ngrams(spark, d):
@@ -165,10 +163,9 @@ def review_open_dedupe(spark, d):
 
 def stream_latest(spark, d):
     """Latest value per user and type of the event stream, by micro-batches over the file."""
-    root = tempfile.mkdtemp(prefix="stream-") if not work_root(spark).startswith("file:") else work_root(spark)[7:] + f"/stream-{id(spark)}"
+    root = f"{work_root(spark)}/stream-{uuid.uuid4().hex}"
     src = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     state = f"{root}/state"
-    shutil.rmtree(root, ignore_errors=True)
 
     def step(batch, n):
         jobs.latest_state(batch.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").write.mode("append").parquet(state)
@@ -177,6 +174,34 @@ def stream_latest(spark, d):
     return jobs.latest_state(spark.read.parquet(state), "user_id", "event_id")
 
 
+def job_transitions(spark, d):
+    """Every job after its run: completed, queued again while attempts are left, or failed; and whether its
+    claim was released."""
+    j = table(spark, d, "enrichment_jobs")
+    return jobs.settle(j, F.col("error_summary")).select("job_id", "status", F.col("released"))
+
+
+def retryable_errors(spark, d):
+    """Error texts of jobs, whether they may pass, and how often they occur."""
+    j = table(spark, d, "enrichment_jobs").where("error_summary IS NOT NULL")
+    return j.groupBy("error_summary").agg(F.count("*").alias("n")).select("error_summary", S.retryable(F.col("error_summary")).alias("retryable"), "n")
+
+
+def county_count_delta(spark, d):
+    """Distinct lines of each county against its lines: over, under or exact match, with the difference."""
+    r = table(spark, d, "county_source_records").where("county_id IS NOT NULL").groupBy("county_id").agg(F.count("*").alias("lines"), F.count_distinct("raw_text").alias("distinct_lines"))
+    return table(spark, d, "counties").join(r, "county_id", "left").select("slug", S.count_delta(F.coalesce("distinct_lines", F.lit(0)), F.col("lines")).alias("label"))
+
+
+def priority_order(spark, d):
+    """The hundred place rows to see first: those without a place id, then by rising confidence, then by id."""
+    v = table(spark, d, "vendors_placeid_smoke_out")
+    needs = F.coalesce(F.trim("google_place_id"), F.lit("")) == ""
+    conf = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("none", "low", "medium", "high")]), F.lower(F.trim("match_confidence"))), F.lit(0))
+    top = v.select("row_id", needs.cast("int").alias("needs"), F.when(conf == 0, 4).otherwise(conf - 1).alias("conf")).orderBy(F.desc("needs"), "conf", "row_id").limit(100)
+    return top.select("row_id", F.row_number().over(W.orderBy(F.desc("needs"), "conf", "row_id")).cast("long").alias("place"))  # a hundred rows
+
+
 def history_window(spark, d):
     """The last forty openings before each listing within a county, as a number of distinct ones."""
     m = table(spark, d, "san_diego").where("city IS NOT NULL").select("row_id", "city", X.listing_key(F.col("vendor_name")).alias("k"))
@@ -185,10 +210,9 @@ def history_window(spark, d):
 
 
 def top_distinct_candidates(spark, d):
-    """Up to five distinct candidate ids of a place row, with their first position."""
+    """Up to five distinct candidate ids of a place row, with their position."""
     v = table(spark, d, "vendors_placeid_smoke_out").where("raw_candidate_place_ids IS NOT NULL")
-    c = v.select("row_id", F.posexplode(F.array_distinct(F.filter(F.transform(F.split("raw_candidate_place_ids", r"\|"), lambda x: F.trim(x)), lambda x: x != ""))).alias("pos", "candidate"))
-    return c.where("pos < 5")
+    return v.select("row_id", F.posexplode(S.candidate_ids(F.col("raw_candidate_place_ids"))).alias("pos", "candidate"))
 
 
 def search_query_text(spark, d):
@@ -207,17 +231,38 @@ def score_bands(spark, d):
 QUERIES = {f.__name__: f for f in (
     line_ingest, header_footer_lines, block_segments, greedy_chunks, top_ngrams, tfidf_top, centroid_terms, nearest_neighbor, opening_clusters, uniqueness_audit, json_fields, lenient_json, event_props,
     html_lines, csv_roundtrip, jsonl_roundtrip, registry_totals, source_dispatch, enqueue_jobs, claim_oldest, resume_anti_join, fingerprint_memo, review_open_dedupe, stream_latest, history_window,
-    top_distinct_candidates, search_query_text, score_bands)}
+    top_distinct_candidates, search_query_text, score_bands, job_transitions, retryable_errors, county_count_delta, priority_order)}
 
 _W = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _LINES = rf"list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_W.format('x')}), lambda x: x <> '')"
 _TOK = "regexp_extract_all(lower(vendor_description), '[a-z'']+')"
-_TFIDF = f"""t AS (SELECT listing_id AS id, unnest({_TOK}) AS term FROM marin WHERE vendor_description IS NOT NULL), tc AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
-    n AS (SELECT count(DISTINCT id) AS n FROM t), dd AS (SELECT term, count(*) AS df FROM tc GROUP BY term), w AS (SELECT id, tc.term, tf * ln(n.n::DOUBLE / df) AS w FROM tc JOIN dd USING (term), n)"""
+def _tfidf(having: str) -> str:
+    """SQL of the weights: share of the text times ln((N + 1) / (df + 1)) + 1, N the texts for which ``having``."""
+    return f"""src AS (SELECT listing_id AS id, vendor_description FROM marin WHERE {having}), t AS (SELECT id, unnest({_TOK}) AS term FROM src), tc AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
+    n AS (SELECT count(*) AS n FROM src), tt AS (SELECT id, sum(tf) AS total FROM tc GROUP BY id), dd AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
+    w AS (SELECT tc.id, tc.term, tf::DOUBLE / total * (ln((n.n + 1)::DOUBLE / (df + 1)) + 1) AS w FROM tc JOIN dd USING (term) JOIN tt ON tt.id = tc.id, n)"""
+
+
+_NEAR = """z AS (SELECT id, count(*) AS n, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS dot, count(*) AS c FROM w a JOIN w b ON a.term = b.term AND a.id <> b.id WHERE {0} GROUP BY ALL),
+        s AS (SELECT p.a, max(greatest(dot / (x.norm * y.norm), c::DOUBLE / (x.n + y.n - c))) AS similarity FROM p JOIN z x ON x.id = p.a JOIN z y ON y.id = p.b GROUP BY p.a)"""
 _SENT = rf"list_filter(string_split(regexp_replace({_W.format('vendor_description')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+_OPENING = rf"""array_to_string(list_slice(string_split({_SP.format(rf"regexp_replace(lower(coalesce({_SENT}[1], '')), '\(?[0-9]{{3}}\)?[-. ]?[0-9]{{3}}[-. ]?[0-9]{{4}}', '{{phone}}', 'g')")}, ' '), 1, 6), ' ')"""
 _FOOT = r"regexp_matches(lower({0}), '\bpage\b|revised|updated|disclaimer')"
 SQL = {
+    "top_distinct_candidates": """WITH e AS (SELECT row_id, list_filter(list_transform(string_split_regex(raw_candidate_place_ids, '[,|]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ids FROM vendors_placeid_smoke_out WHERE raw_candidate_place_ids IS NOT NULL),
+        u AS (SELECT row_id, list_slice(list_filter(ids, lambda x, i: list_position(ids, x) = i), 1, 5) AS five FROM e)
+        SELECT row_id, unnest(five) AS candidate, CAST(unnest(range(len(five))) AS INT) AS pos FROM u""",
+    "job_transitions": """SELECT job_id, CASE WHEN status <> 'running' THEN status WHEN error_summary IS NULL THEN 'completed' WHEN coalesce(attempts, 0) < coalesce(max_attempts, 3) THEN 'queued' ELSE 'failed' END AS status,
+        status = 'running' AND error_summary IS NOT NULL AND coalesce(attempts, 0) < coalesce(max_attempts, 3) AS released FROM enrichment_jobs""",
+    "retryable_errors": """SELECT error_summary, regexp_matches(lower(error_summary), 'overloaded|529|rate_limit|timeout|temporarily unavailable') AS retryable, count(*) AS n FROM enrichment_jobs WHERE error_summary IS NOT NULL GROUP BY ALL""",
+    "county_count_delta": """WITH f AS (SELECT county_id, count(*) AS n FROM county_source_records WHERE county_id IS NOT NULL GROUP BY 1), x AS (SELECT county_id, count(DISTINCT raw_text) AS n FROM county_source_records WHERE county_id IS NOT NULL GROUP BY 1),
+        j AS (SELECT slug, coalesce(x.n, 0) - f.n AS d FROM counties LEFT JOIN f USING (county_id) LEFT JOIN x USING (county_id))
+        SELECT slug, CASE WHEN d > 0 THEN 'over ' WHEN d < 0 THEN 'under ' ELSE 'exact match ' END || CASE WHEN d >= 0 THEN '+' ELSE '' END || CAST(d AS VARCHAR) AS label FROM j WHERE d IS NOT NULL
+        UNION ALL SELECT slug, NULL FROM j WHERE d IS NULL""",
+    "priority_order": """SELECT row_id, row_number() OVER (ORDER BY needs DESC, conf, row_id) AS place FROM (SELECT row_id, CASE WHEN google_place_id IS NULL OR trim(google_place_id, ' ') = '' THEN 1 ELSE 0 END AS needs,
+        CASE lower(trim(match_confidence, ' ')) WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS conf FROM vendors_placeid_smoke_out) QUALIFY place <= 100""",
     "line_ingest": f"""WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(range(len(ls))) AS row_index, unnest(ls) AS raw FROM l)
         SELECT doc_id, CAST(row_index AS INT) AS row_index, string_split(raw, ' - ')[1] AS name_part, lower(nullif(regexp_extract(raw, '{C.EMAIL}'), '')) AS email FROM x""",
     "header_footer_lines": rf"""SELECT record_id, len(string_split_regex(trim(raw_text), '\s+')) >= 3 AND length(regexp_replace(raw_text, '[^\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(raw_text, '[^\p{{Lu}}]', '', 'g')) >= 0.8 * length(regexp_replace(raw_text, '[^\p{{L}}]', '', 'g')) AS is_header,
@@ -232,18 +277,21 @@ SQL = {
         SELECT doc_id, chunk, count(*) AS n_lines, CAST(sum(sz) AS BIGINT) AS chars FROM r GROUP BY doc_id, chunk""",
     "top_ngrams": f"""WITH d AS (SELECT {_TOK} AS t FROM marin WHERE vendor_description IS NOT NULL), g AS ({' UNION ALL '.join(f"SELECT {n} AS n, unnest(list_transform(range(1, greatest(len(t) - {n - 2}, 1)), lambda i: array_to_string(list_slice(t, i, i + {n - 1}), ' '))) AS gram FROM d WHERE len(t) >= {n}" for n in (3, 4, 5))}),
         c AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY ALL) SELECT n, gram, cnt, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, gram) AS rnk FROM c QUALIFY rnk <= 10""",
-    "tfidf_top": f"WITH {_TFIDF} SELECT id, round(max(w), 6) AS w, count(*) AS n_terms FROM w GROUP BY id",
-    "centroid_terms": f"WITH {_TFIDF} SELECT term, round(sum(w) / (SELECT count(DISTINCT id) FROM w), 6) AS w FROM w GROUP BY term",
-    "nearest_neighbor": f"""WITH {_TFIDF.replace("WHERE vendor_description IS NOT NULL", "WHERE vendor_description IS NOT NULL AND vendor_description <> ''")}, z AS (SELECT id, count(*) AS n, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
-        p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS dot, count(*) AS c FROM w a JOIN w b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY ALL),
-        s AS (SELECT p.a, max(greatest(CASE WHEN x.norm > 0 AND y.norm > 0 THEN dot / (x.norm * y.norm) ELSE 0 END, c::DOUBLE / (x.n + y.n - c))) AS similarity FROM p JOIN z x ON x.id = p.a JOIN z y ON y.id = p.b GROUP BY p.a)
-        SELECT m.listing_id AS id, round(coalesce(similarity, 0.0), 5) AS similarity FROM marin m LEFT JOIN s ON s.a = m.listing_id WHERE vendor_description IS NOT NULL AND vendor_description <> '' AND listing_id % 50 = 0""",
-    "opening_clusters": rf"""WITH o AS (SELECT array_to_string(list_slice(string_split({_SP.format(rf"regexp_replace(lower(coalesce({_SENT}[1], '')), '\(?[0-9]{{3}}\)?[-. ]?[0-9]{{3}}[-. ]?[0-9]{{4}}', '{{phone}}', 'g')")}, ' '), 1, 6), ' ') AS opening FROM marin WHERE vendor_description IS NOT NULL),
+    "tfidf_top": f"WITH {_tfidf('vendor_description IS NOT NULL')} SELECT id, round(max(w), 6) AS w, count(*) AS n_terms FROM w GROUP BY id",
+    "centroid_terms": f"WITH {_tfidf('vendor_description IS NOT NULL')} SELECT term, round(sum(w) / (SELECT n FROM n), 6) AS w FROM w GROUP BY term",
+    "nearest_neighbor": f"""WITH {_tfidf("vendor_description IS NOT NULL AND vendor_description <> ''")}, {_NEAR.format('a.id % 50 = 0')}
+        SELECT id, round(coalesce(similarity, 0.0), 5) AS similarity FROM src LEFT JOIN s ON s.a = id WHERE id % 50 = 0""",
+    "opening_clusters": rf"""WITH o AS (SELECT {_OPENING} AS opening FROM marin WHERE vendor_description IS NOT NULL),
         c AS (SELECT opening, count(*) AS size FROM o GROUP BY opening) SELECT opening, size, row_number() OVER (ORDER BY size DESC, opening) - 1 AS cluster_id FROM c""",
-    "uniqueness_audit": rf"""WITH m AS (SELECT array_to_string(list_slice(string_split({_SP.format(f"lower(coalesce({_SENT}[1], ''))")}, ' '), 1, 4), ' ') AS opening, len({_SENT}) AS n_s FROM marin WHERE vendor_description IS NOT NULL),
-        z AS (SELECT opening, count(*) AS size FROM m GROUP BY opening), md AS (SELECT n_s AS modal FROM m GROUP BY n_s ORDER BY count(*) DESC, n_s LIMIT 1),
-        j AS (SELECT size, least(size / 20.0, 1.0) AS sim, n_s = modal AS md FROM m JOIN z USING (opening), md)
-        SELECT CASE WHEN size > 40 AND (sim >= 0.72 OR NOT md) THEN 1 WHEN size > 40 OR sim >= 0.85 THEN 2 WHEN size > 10 OR sim >= 0.72 THEN 3 WHEN sim >= 0.5 THEN 4 ELSE 5 END AS score, count(*) AS n FROM j GROUP BY 1""",
+    "uniqueness_audit": rf"""WITH {_tfidf(_W.format('vendor_description') + " <> ''")}, {_NEAR.format('true')},
+        m AS (SELECT id, {_OPENING} AS opening, greatest(len({_SENT}), 1) AS n_s, len({_TOK}) = 0 AS wordless FROM src),
+        sz AS (SELECT opening, count(*) AS size FROM m GROUP BY opening), md AS (SELECT n_s AS mode FROM m GROUP BY n_s ORDER BY count(*) DESC, n_s LIMIT 1), em AS (SELECT count(*) FILTER (WHERE wordless) AS empties FROM m),
+        ce AS (SELECT term, sum(w) / (SELECT n FROM n) AS m FROM w GROUP BY term), cl AS (SELECT sqrt(sum(m * m)) AS len FROM ce),
+        di AS (SELECT id, 1 - sum(w * m) / (sqrt(sum(w * w)) * any_value(len)) AS distance FROM w JOIN ce USING (term), cl GROUP BY id),
+        j AS (SELECT size, coalesce(distance, 1.0) AS distance, abs(n_s - mode) <= 1 AS modal, CASE WHEN wordless THEN CASE WHEN empties > 1 THEN 1.0 ELSE 0.0 END ELSE coalesce(similarity, 0.0) END AS sim
+            FROM m JOIN sz USING (opening) LEFT JOIN di ON di.id = m.id LEFT JOIN s ON s.a = m.id, md, em)
+        SELECT CASE WHEN size <= 2 AND distance >= 0.35 AND sim < 0.45 THEN 5 WHEN size <= 5 AND distance >= 0.25 AND sim < 0.55 THEN 4 WHEN size <= 15 AND sim < 0.65 THEN 3
+            WHEN size <= 40 OR sim >= 0.72 OR modal THEN 2 ELSE 1 END AS score, count(*) AS n FROM j GROUP BY 1""",
     "json_fields": """WITH j AS (SELECT record_id, CASE WHEN json_valid(raw_json) THEN raw_json END AS r FROM county_source_records) SELECT record_id, r ->> '$.vendor_name' AS vendor_name, r ->> '$.phone' AS phone, r ->> '$.email' AS email, r ->> '$.county' AS county FROM j""",
     "lenient_json": """SELECT record_id, CASE WHEN json_valid(raw_json) THEN raw_json ->> '$.vendor_name' END AS vendor_name, CASE WHEN json_valid(raw_json) THEN raw_json ->> '$.phone' END AS phone, CASE WHEN json_valid(raw_json) THEN raw_json ->> '$.county' END AS county FROM county_source_records WHERE raw_json IS NOT NULL""",
     "event_props": "SELECT CAST(props ->> '$.k' AS INT) % 10 AS k_mod, count(*) AS n FROM events GROUP BY 1",

@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,25 +84,51 @@ def work_root(spark: SparkSession) -> str:
     return "file://" + _local_root
 
 
-def _remove(path: str) -> None:
+def _remove(path: str, spark: SparkSession | None = None) -> None:
+    """Delete a work folder: through the file system it lies in where a session is given."""
     parsed = urlparse(path)
     if parsed.scheme in ("", "file"):
         shutil.rmtree(parsed.path, ignore_errors=True)
+    elif spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class _Cleanup:
+    """Spark's deletion of a finished query's shuffle files, on while any thread writes a work table and then
+    as it was before."""
+
+    def __init__(self) -> None:
+        self.lock, self.users, self.before = threading.Lock(), 0, None
+
+    @contextmanager
+    def on(self, spark: SparkSession):
+        with self.lock:
+            if not self.users:
+                self.before = spark.conf.get(_CLEANUP, None)
+                spark.conf.set(_CLEANUP, "true")
+            self.users += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.users -= 1
+                if not self.users:
+                    spark.conf.set(_CLEANUP, self.before) if self.before is not None else spark.conf.unset(_CLEANUP)
+
+
+_cleanup = _Cleanup()
 
 
 def materialise(df: DataFrame, label: str = "t", codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors,
-    and gives the planner a measured size. The files go when the returned frame is dropped (local
-    and shared POSIX folders) or, elsewhere, with the folder itself."""
+    and gives the planner a measured size. The files go with ``drop_work`` or, in local and shared POSIX
+    folders, at the end of the process."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
     # shuffle files of the finished write serve nobody: let Spark delete them at once
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleanup.on(spark):
         df.write.option("compression", codec).mode("errorifexists").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     parsed = urlparse(path)
@@ -114,7 +142,7 @@ def drop_work(*frames: DataFrame) -> None:
     for f in frames:
         path = getattr(f, "_work_path", None)
         if path:
-            _remove(path)
+            _remove(path, f.sparkSession)
 
 
 def stored_bytes(df: DataFrame) -> int:

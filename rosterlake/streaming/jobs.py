@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 
 def enqueue(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates that have no job yet, one per key."""
-    return candidates.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Candidates that have no job yet, one per key (the least row on repeats)."""
+    rest = [c for c in candidates.columns if c not in keys]
+    one = candidates.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_b")).select(*keys, "_b.*") if rest else candidates.select(*keys).distinct()
+    return one.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def claim_oldest(jobs: DataFrame, n: int, open_status: str = "queued") -> DataFrame:
@@ -26,6 +28,16 @@ def apply_claims(jobs: DataFrame, claimed: DataFrame) -> DataFrame:
     return jobs.join(c, "job_id", "left").withColumn("status", F.coalesce("_s", "status")).withColumn("attempts", F.coalesce("_a", "attempts")).drop("_s", "_a")
 
 
+def settle(jobs: DataFrame, error, max_attempts: int = 3) -> DataFrame:
+    """Running jobs after their run: ``completed`` without an error, ``queued`` again while attempts are
+    left, else ``failed``; ``released`` marks claims to be given up. Other jobs stay as they are. A missing
+    number of attempts counts as none, a missing maximum as ``max_attempts``."""
+    ran = F.coalesce(F.col("status") == "running", F.lit(False))
+    left = F.coalesce("attempts", F.lit(0)) < F.coalesce("max_attempts", F.lit(max_attempts))
+    done = F.when(error.isNull(), "completed").when(left, "queued").otherwise("failed")
+    return jobs.withColumn("released", F.col("status").isNotNull() & ran & error.isNotNull() & left).withColumn("status", F.when(ran, done).otherwise(F.col("status")))
+
+
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run has left to do."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -71,7 +71,9 @@ def test_survivors_and_merges(spark):
 
 def test_segments_and_packed(spark):
     assert col(spark, lambda c: segments.blocks(c), ["x\nFIRST HEADER LINE\na\nPage 2\nSECOND HEADER LINE\nb\nc"]) == [[["FIRST HEADER LINE", "a"], ["SECOND HEADER LINE", "b", "c"]]]
-    assert col(spark, lambda c: segments.greedy_chunks(F.split(c, ","), 5), ["abc,de,f,ghijklm,n"]) == [[0, 0, 1, 2, 3]]
+    lines = spark.createDataFrame([(1, ["abc", "de", "f", "ghijklm", "n"]), (2, []), (3, None)], "id int, p array<string>")
+    got = [tuple(r) for r in segments.chunk_sizes(lines.where("p IS NOT NULL"), "id", "p", 5).collect()]
+    assert got == [(1, 0, 2, 5), (1, 1, 1, 1), (1, 2, 1, 7), (1, 3, 1, 1)]
     v = ["Cole, Ann; Bo Dee", "Cole, Ann", "A. Bee, Cy Dee and Eve Eff", '"Cole, Ann","Bo Dee"', "Bo Dee, Jr.", "Bo Dee|Cy Eff Jr", None, "", "x" * 20_000, "Bo Dee\nCy Eff", "; ; Bo Dee; ; Cy Eff;"]
     df = spark.createDataFrame([(i, x, "s") for i, x in enumerate(v)], "id int, f string, src string")
     got: dict = {}
@@ -106,3 +108,26 @@ def test_files_and_stream(spark, tmp_path):
     assert {(r.job_id, r.status) for r in jobs.apply_claims(q, c).collect()} == {(1, "queued"), (2, "running"), (3, "failed")}
     with pytest.raises(KeyError):
         registry.lines_of(df, "portal")
+
+
+def test_place_score(spark):
+    names = ("phone", "domain", "name", "city", "state", "address")
+    rows = [("5551234567", "a.example", "oak ridge ccw", "elmmont", "ca", "12 oak st elmmont ca"), ("5551234567", None, "oak ridge ccw academy", "elmmont", None, None), (None, "b.example", "other", "roseyo", "nv", "1 elm st"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    cand = {"phone": F.lit("5551234567"), "domain": F.lit("a.example"), "name": F.lit("oak ridge ccw"), "address": F.lit("12 oak st elmmont ca 93012")}
+    score, why = S.place_score({n: F.col(n) for n in names}, cand)
+    got = [tuple(r) for r in df.select(score, why).collect()]
+    assert got[0] == (45 + 25 + 25 + 10 + 6 + 12, "exact_phone_match|website_domain_match|strong_name_similarity|city_match|state_match|address_proximity_strong")
+    assert got[1] == (45 + 16 + 10, "exact_phone_match|moderate_name_similarity|city_match")
+    assert got[2] == (-8 - 15 - 7 - 5, "website_domain_conflict|name_mismatch|city_mismatch|state_mismatch") and got[3] == (-15, "name_mismatch")
+    assert col(spark, X.folded_key, ["José  Muñoz-Ruiz", "ÀB", "", None]) == ["jose mun oz ruiz", "a b", "", ""]
+    assert col(spark, lambda c: S.demoted(F.lit("high"), c.cast("double")), ["9", "10", None]) == ["medium", "high", "high"]
+    assert col(spark, S.retryable, ["Error 529", "HTTP 404", None]) == [True, False, False]
+    assert col(spark, S.candidate_ids, ["a, b|a,,c", "", None]) == [["a", "b", "c"], [], None]
+
+
+def test_job_settles(spark):
+    rows = [(1, "running", 1, 3, None), (2, "running", 1, 3, "timeout"), (3, "running", 3, 3, "timeout"), (4, "running", None, None, "x"), (5, "queued", 1, 3, "x"), (6, None, None, None, None)]
+    df = spark.createDataFrame(rows, "job_id int, status string, attempts int, max_attempts int, e string")
+    got = [(r.status, r.released) for r in jobs.settle(df, F.col("e")).orderBy("job_id").collect()]
+    assert got == [("completed", False), ("queued", True), ("failed", False), ("queued", True), ("queued", False), (None, False)]
