@@ -30,29 +30,35 @@ def _dashed(d: Column) -> Column:
     return F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4))
 
 
+# A number of the North American plan (area and exchange begin with 2 to 9), an extension at the end.
+NANP = r"(?:\+?1[-.\s]*)?\(?([2-9][0-9]{2})\)?[-.\s]*([2-9][0-9]{2})[-.\s]*([0-9]{4})\b"
+EXTENSION = r"(?i)\s*[,;]?\s*(?:extension|ext\.?|x)\s*:?\s*([0-9]{1,8})\s*$"
+
+
 def nanp(c: Column) -> Column:
-    """All numbers of a field as NPA-NXX-XXXX joined by ``" / "``, an extension kept as ``ext. N``.
+    """All numbers of a field as NPA-NXX-XXXX joined by ``" / "``, repeats kept, an extension as ``ext. N``.
 
-    Ladder: formatted numbers; else eleven digits with a leading 1; ten; twenty (two numbers); else unchanged."""
+    Ladder: twenty digits without a break (two numbers, both kept); formatted numbers; else, of the digits,
+    eleven with a leading 1, twenty or ten with valid area and exchange; else the field without outer white space."""
     text = strip_ws(c)
-    ext = F.regexp_extract(text, r"(?i)(?:ext\.?|x)\s*([0-9]+)\s*$", 1)
-    body = strip_ws(F.regexp_replace(text, r"(?i)\s*(?:ext\.?|x)\s*[0-9]+\s*$", ""))
-    found = F.transform(F.regexp_extract_all(body, F.lit(r"((?:\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4})"), F.lit(1)),
-                        lambda p: _dashed(F.right(F.regexp_replace(p, "[^0-9]", ""), F.lit(10))))
+    ext = F.regexp_extract(text, EXTENSION, 1)
+    body = strip_ws(F.regexp_replace(text, EXTENSION, ""))
+    found = F.transform(F.regexp_extract_all(body, F.lit(f"({NANP})"), F.lit(1)), lambda p: _dashed(F.right(F.regexp_replace(p, "[^0-9]", ""), F.lit(10))))
     d = F.regexp_replace(body, "[^0-9]", "")
+    d = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    one = r"[2-9][0-9]{2}[2-9][0-9]{6}"
     main = (
-        F.when(F.size(found) > 0, F.array_join(F.array_distinct(found), " / "))
-        .when((F.length(d) == 11) & d.startswith("1"), _dashed(F.substring(d, 2, 10)))
-        .when(F.length(d) == 10, _dashed(d))
-        .when(F.length(d) == 20, F.concat(_dashed(F.substring(d, 1, 10)), F.lit(" / "), _dashed(F.substring(d, 11, 10))))
-        .otherwise(body)
+        F.when((F.size(found) > 0) & ~body.rlike(f"^{one}{one}$"), F.array_join(found, " / "))
+        .when(d.rlike(f"^{one}{one}$"), F.concat(_dashed(F.substring(d, 1, 10)), F.lit(" / "), _dashed(F.substring(d, 11, 10))))
+        .when(d.rlike(f"^{one}$"), _dashed(d))
     )
-    return F.when(ext != "", F.concat(main, F.lit(" ext. "), ext)).otherwise(main)
+    return F.when(main.isNull(), text).when(ext != "", F.concat(main, F.lit(" ext. "), ext)).otherwise(main)
 
 
 def phone_well_formed(c: Column) -> Column:
-    """Every segment of a normalised field is NPA-NXX-XXXX, an extension allowed."""
-    return F.forall(F.split(c, " / "), lambda s: s.rlike(r"^[0-9]{3}-[0-9]{3}-[0-9]{4}(?: ext\. [0-9]+)?$"))
+    """Every number of a normalised field is NPA-NXX-XXXX, an extension at the end allowed; blank is well formed."""
+    core = F.regexp_replace(strip_ws(c), r"(?i)\s+ext\.\s*[0-9]{1,8}\s*$", "")
+    return F.forall(F.filter(F.transform(F.split(core, " / "), strip_ws), lambda s: s != ""), lambda s: s.rlike(r"^[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}$"))
 
 
 def website(c: Column) -> Column:

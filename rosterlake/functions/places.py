@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.text import collapse_ws, strip_ws
 
-# Texts in a city field that name no city.
-NO_CITY = ("online", "various", "multiple", "mobile", "statewide", "tbd", "n/a", "varies", "by appointment", "mobile instructor")
-VENUE = r"(?i)\b(?:range|club|center|hall|academy|store|gun)\b"
+# Texts in a city field that name no city, words of venues, and states that may follow a city.
+NO_CITY = ("online", "northern california", "several northern california counties", "ca locations")
+VENUE = r"(?i)\b(?:gun\s+range|shooting\s+range|gun\s+club|armory|gun\s+world)\b"
+STATES = ("CA", "NV", "AZ", "OR", "WA", "ID", "UT")
 
 
 def clean_city_part(c: Column) -> Column:
-    """One candidate: a trailing state dropped; null for no-cities, two-letter codes, counties and venues."""
-    t = strip_ws(F.regexp_replace(collapse_ws(c), r"(?i)[, ]+(?:CA|Calif\.?|California)\.?$", ""))
-    bad = (t == "") | F.lower(t).isin(*NO_CITY) | t.rlike(r"^[A-Za-z]{1,2}$") | t.rlike(r"(?i)\b(?:county|co\.?)$") | t.rlike(VENUE)
-    return F.when(~bad, t)
-
-
-def clean_city(c: Column, prefer: Column | None = None) -> Column:
-    """The first usable part of a city field split at slashes and commas, or the part equal to ``prefer``."""
-    parts = F.filter(F.transform(F.split(c, r"\s*[/,]\s*"), clean_city_part), lambda x: x.isNotNull())
-    first = F.get(parts, F.lit(0))
-    if prefer is None:
-        return first
-    return F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p) == F.lower(prefer)), F.lit(0)), first)
+    """One candidate with a state after it dropped; null for blanks, ``online``, two-letter codes, counties
+    and venues."""
+    t = strip_ws(c)
+    low = F.lower(t)
+    bad = (t == "") | (low == "online") | low.rlike("^[a-z]{2}$") | low.rlike(r"\sco\.?$") | low.rlike("county|counties") | t.rlike(VENUE)
+    return F.when(~bad, F.regexp_replace(t, rf"\s+(?:{'|'.join(STATES)})$", ""))
+
+
+def clean_city(c: Column, county: Column | None = None) -> Column:
+    """The first usable part of a city field split at slashes and commas, or the first that contains the
+    county's name or lies within it; null if none, or if the whole field names no city."""
+    t = strip_ws(c)
+    parts = F.filter(F.transform(F.split(t, "[/,]"), clean_city_part), lambda x: x.isNotNull())
+    best = F.get(parts, F.lit(0))
+    if county is not None:
+        name = F.lower(F.replace(county, F.lit("-"), F.lit(" ")))
+        best = F.coalesce(F.get(F.filter(parts, lambda p: F.contains(F.lower(p), name) | F.contains(name, F.lower(p))), F.lit(0)), best)
+    whole = F.lower(t).isin(*NO_CITY) | F.lower(t).rlike("county|counties")
+    return F.when(~whole, best)
 
 
 def city_from_address(c: Column) -> Column:

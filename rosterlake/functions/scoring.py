@@ -50,10 +50,17 @@ def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def slug_similarity(a: Column, b: Column, drop: tuple[str, ...] = ("llc", "inc", "co", "corp", "ltd")) -> Column:
-    """0.55 x Jaccard of slug parts (legal forms dropped) + 0.45 x sequence ratio."""
-    parts = lambda c: F.filter(F.split(c, "-"), lambda x: ~x.isin(*drop) & (x != ""))
-    return 0.55 * jaccard(parts(a), parts(b)) + 0.45 * sequence_ratio_udf(a, b)
+def slug_words(c: Column) -> Column:
+    """The parts of a slug that tell names apart."""
+    # Legal forms and joining words
+    return F.filter(F.split(c, "-"), lambda x: ~x.isin("llc", "inc", "corp", "co", "ltd", "the", "and") & (x != ""))
+
+
+def slug_similarity(a: Column, b: Column) -> Column:
+    """0.55 x Jaccard + 0.45 x sequence ratio of the telling parts of two slugs; 0 if one has none."""
+    x, y = slug_words(a), slug_words(b)
+    both = (F.size(x) > 0) & (F.size(y) > 0)
+    return F.when(both, 0.55 * jaccard(x, y) + 0.45 * sequence_ratio_udf(F.array_join(x, "-"), F.array_join(y, "-"))).otherwise(F.lit(0.0))
 
 
 def candidate_ids(raw: Column, most: int = 5) -> Column:

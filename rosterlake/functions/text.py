@@ -86,7 +86,18 @@ def nfkd_key_udf(s: pd.Series) -> pd.Series:
 
 
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(strip_ws(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Lower case; punctuation vanishes, blanks become hyphens, hyphens collapse."""
+    t = F.regexp_replace(F.lower(strip_ws(c)), r"[^a-z0-9\s-]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+", "-"), r"-+", "-"), r"^-|-$", "")
+
+
+def county_slug(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Lower case; blanks and underscores become hyphens, hyphens collapse; ``aliases`` replace whole slugs."""
+    t = F.replace(F.lower(strip_ws(c)), F.lit("_"), F.lit("-"))
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+", "-"), r"-+", "-"), r"^-|-$", "")
+    for old, new in (aliases or {}).items():
+        s = F.when(s == old, F.lit(new)).otherwise(s)
+    return s
 
 
 def drop_last_slug_part(c: Column) -> Column:

@@ -9,6 +9,7 @@ from rosterlake.functions import contacts as C
 from rosterlake.functions import scoring as S
 from rosterlake.functions import text as X
 from rosterlake.operators import dedupe, match, quality, report
+from rosterlake.plans.fragments import COUNTY_SLUG as _COUNTY_SLUG, HOST as _HOST, MISS as _MISS, SLUG as _SLUG, SP as _SP, W as _W
 from rosterlake.plans.q_text import BLOCKED
 from rosterlake.session import table, work_root
 from rosterlake.sources import files
@@ -79,7 +80,7 @@ def id_assembly(spark, d):
 
 def cleanup_pass(spark, d):
     """Slug, first-seen dedup, placeholder drop, state default, phone normalisation and flags, in this order."""
-    m = table(spark, d, "san_diego").select("row_id", X.slugify(F.col("county")).alias("county"), X.name_key_ascii(F.col("vendor_name")).alias("vkey"), F.coalesce(X.blank_to_null(F.col("state")), F.lit("CA")).alias("state"),
+    m = table(spark, d, "san_diego").select("row_id", X.county_slug(F.col("county")).alias("county"), X.name_key_ascii(F.col("vendor_name")).alias("vkey"), F.coalesce(X.blank_to_null(F.col("state")), F.lit("CA")).alias("state"),
                                            C.phone_digits(F.coalesce(F.col("phone"), F.lit(""))).alias("digits"))
     first = dedupe.first_seen(m, ["county", "vkey"], "row_id").where(~F.col("vkey").isin("tbd", "private instructor"))
     rules = {"bad_phone": (F.col("digits") != "") & (F.length("digits") < 10), "no_phone": F.col("digits") == ""}
@@ -137,12 +138,7 @@ def overlap_bands(spark, d):
 QUERIES = {f.__name__: f for f in (lookup_with_default, semi_join_county, positional_lookup, slug_cascade, skip_reasons, rows_to_process, crawl_outcome, lookup_outcome, id_assembly, cleanup_pass, target_projection,
                                    url_set, evidence_check, combine_jsonl, report_rows, overlap_bands)}
 
-_W = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
-_MISS = r"coalesce(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '') IN ('', 'null', 'none', 'nan')"
-_SLUG = r"regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _ASCII = _SP.format(r"regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")
-_HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(regexp_replace(website_url, '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\.', ''), '')"
 _DIG = "regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')"
 _BL = ", ".join(f"'{b}'" for b in BLOCKED)
 SQL = {
@@ -162,7 +158,7 @@ SQL = {
         SELECT listing_id, CASE WHEN b.host IS NOT NULL THEN 'found' WHEN n > 0 THEN 'not_found_blocked' ELSE 'not_found' END AS outcome, b.host FROM (SELECT listing_id, lower(trim(vendor_name, ' ')) AS k FROM marin) m LEFT JOIN c USING (k) LEFT JOIN b USING (k)""",
     "id_assembly": f"""SELECT row_id, CASE WHEN coalesce(match_confidence IN ('high', 'medium'), false) AND NOT ({_MISS.format('google_place_id')}) THEN trim(google_place_id, ' ') ELSE '' END AS place_id,
         array_to_string(list_filter([match_confidence, match_reason], lambda x: coalesce({_W.format('x')}, '') <> ''), ' | ') AS match FROM vendors_placeid_smoke_out""",
-    "cleanup_pass": f"""WITH m AS (SELECT row_id, {_SLUG.format('county')} AS county, {_ASCII} AS vkey, coalesce(nullif({_W.format('state')}, ''), 'CA') AS state, CASE WHEN length({_DIG}) = 11 AND {_DIG} LIKE '1%' THEN substr({_DIG}, 2, 10) ELSE {_DIG} END AS digits FROM san_diego),
+    "cleanup_pass": f"""WITH m AS (SELECT row_id, {_COUNTY_SLUG.format('county')} AS county, {_ASCII} AS vkey, coalesce(nullif({_W.format('state')}, ''), 'CA') AS state, CASE WHEN length({_DIG}) = 11 AND {_DIG} LIKE '1%' THEN substr({_DIG}, 2, 10) ELSE {_DIG} END AS digits FROM san_diego),
         f AS (SELECT * FROM m WHERE county <> '' AND vkey <> '' QUALIFY row_number() OVER (PARTITION BY county, vkey ORDER BY row_id) = 1)
         SELECT row_id, county, vkey, state, CASE WHEN digits = '' THEN 'no_phone' WHEN length(digits) < 10 THEN 'bad_phone' ELSE '' END AS needs_review FROM f WHERE vkey NOT IN ('tbd', 'private instructor')""",
     "target_projection": "SELECT CAST(listing_id AS VARCHAR) AS listing_id, coalesce(county, '') AS county, coalesce(vendor_name, '') AS vendor_name, coalesce(phone, '') AS phone, '' AS google_place_id FROM marin",

@@ -13,6 +13,7 @@ from rosterlake.functions import scoring as S
 from rosterlake.functions import structured as H
 from rosterlake.functions import text as X
 from rosterlake.operators import segments, textstats
+from rosterlake.plans.fragments import SP as _SP, W as _W
 from rosterlake.session import materialise, table, work_root
 from rosterlake.sources import files, registry
 from rosterlake.streaming import jobs
@@ -233,8 +234,6 @@ QUERIES = {f.__name__: f for f in (
     html_lines, csv_roundtrip, jsonl_roundtrip, registry_totals, source_dispatch, enqueue_jobs, claim_oldest, resume_anti_join, fingerprint_memo, review_open_dedupe, stream_latest, history_window,
     top_distinct_candidates, search_query_text, score_bands, job_transitions, retryable_errors, county_count_delta, priority_order)}
 
-_W = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _LINES = rf"list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_W.format('x')}), lambda x: x <> '')"
 _TOK = "regexp_extract_all(lower(vendor_description), '[a-z'']+')"
 def _tfidf(having: str) -> str:

@@ -9,6 +9,7 @@ from rosterlake.functions import contacts as C
 from rosterlake.functions import scoring as S
 from rosterlake.functions import text as X
 from rosterlake.operators import dedupe, match, merge, quality, report
+from rosterlake.plans.fragments import COUNTY_SLUG as _COUNTY_SLUG, HOST as _HOST, MISS as _MISS, SP as _SP, W as _W
 from rosterlake.session import table
 
 
@@ -166,7 +167,7 @@ def county_cascade(spark, d):
     ref = table(spark, d, "counties")
     m = table(spark, d, "marin").select("listing_id", "county")
     c = F.col("county")
-    keys = [(c, F.col("slug")), (X.slugify(c), F.col("slug")), (F.lower(X.strip_ws(c)), F.lower(F.col("county_name")))]
+    keys = [(c, F.col("slug")), (X.county_slug(c), F.col("slug")), (F.lower(X.strip_ws(c)), F.lower(F.col("county_name")))]
     return match.resolve_cascade(m, "county", ref, "county_id", keys).select("listing_id", F.col("resolved").alias("county_id"), "outcome")
 
 
@@ -274,7 +275,7 @@ def orphan_jobs(spark, d):
 
 def review_flags(spark, d):
     known = table(spark, d, "counties").select(F.col("slug").alias("cslug"), F.lit(True).alias("hit"))
-    m = table(spark, d, "marin").select("listing_id", "phone", "crawl_status", X.slugify(F.col("county")).alias("cslug"))
+    m = table(spark, d, "marin").select("listing_id", "phone", "crawl_status", X.county_slug(F.col("county")).alias("cslug"))
     j = m.join(F.broadcast(known), "cslug", "left")  # 58 rows, fixed
     rules = {"unknown_county": F.col("hit").isNull(), "bad_phone": ~X.is_missing(F.col("phone")) & (F.length(C.phone_digits(F.col("phone"))) < 10), "crawl_failed": F.col("crawl_status") == "failed"}
     return j.select("listing_id", quality.violations(rules).alias("needs_review"))
@@ -306,11 +307,8 @@ QUERIES = {f.__name__: f for f in (
     conditional_counts, field_coverage, group_plus_total, score_crosstab, upper_median, mode_first_seen, top_errors, paged_queue, newest_open, two_key_order, locale_order, round_robin_sample, key_union,
     key_difference, union_by_name, dq_violations, unique_rule, orphan_jobs, review_flags, confidence_display, evidence_confidence, evidence_long)}
 
-_W = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _KEY = "lower(trim(vendor_name, ' '))"
 _ASCII = _SP.format(r"regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")
-_HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(regexp_replace(website_url, '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\.', ''), '')"
 
 
 def _fold(c: str) -> str:
@@ -328,8 +326,6 @@ def _overlap(a: str, b: str) -> str:
 
 
 _DIG = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) = 11 AND regexp_replace({0}, '[^0-9]', '', 'g') LIKE '1%' THEN substr(regexp_replace({0}, '[^0-9]', '', 'g'), 2, 10) ELSE regexp_replace({0}, '[^0-9]', '', 'g') END"
-_SLUG = r"regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-_MISS = r"coalesce(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '') IN ('', 'null', 'none', 'nan')"
 _BASE = "base AS (SELECT c_custkey, c_name, c_mktsegment FROM customer)"
 _UPD = f"""{_BASE}, upd AS (SELECT c_custkey, lower(c_name) AS c_name, CASE c_custkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN upper(c_mktsegment) ELSE 'updated' END AS c_mktsegment, c_custkey AS seq FROM base WHERE c_custkey % 5 = 0
     UNION ALL SELECT c_custkey, c_name, 'second', c_custkey + 10000000 FROM base WHERE c_custkey % 10 = 0)"""
@@ -392,7 +388,7 @@ SQL = {
     "token_overlap": """WITH v AS (SELECT google_place_id AS g, row_id, list_distinct(string_split(trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM vendors_placeid_smoke_out WHERE google_place_id <> '')
         SELECT a.row_id AS row_a, b.row_id AS row_b, round(100.0 * len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)), 6) AS overlap FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY row_id) = 1) a JOIN v b ON a.g = b.g AND a.row_id < b.row_id""",
     "membership_label": """SELECT job_id, run_id, CASE WHEN run_id IN (SELECT run_id FROM enrichment_jobs WHERE job_id % 7 = 0 AND run_id IS NOT NULL) THEN 'indexed' WHEN regexp_matches(run_id, '[a-f0-9]{10}$') THEN 'not_indexed' ELSE 'unknown' END AS label FROM enrichment_jobs""",
-    "county_cascade": f"""WITH m AS (SELECT listing_id, county FROM marin), t AS (SELECT m.listing_id, c.county_id, 0 AS step FROM m JOIN counties c ON m.county = c.slug UNION ALL SELECT m.listing_id, c.county_id, 1 FROM m JOIN counties c ON {_SLUG.format('m.county')} = c.slug
+    "county_cascade": f"""WITH m AS (SELECT listing_id, county FROM marin), t AS (SELECT m.listing_id, c.county_id, 0 AS step FROM m JOIN counties c ON m.county = c.slug UNION ALL SELECT m.listing_id, c.county_id, 1 FROM m JOIN counties c ON {_COUNTY_SLUG.format('m.county')} = c.slug
           UNION ALL SELECT m.listing_id, c.county_id, 2 FROM m JOIN counties c ON lower({_W.format('m.county')}) = lower(c.county_name)),
         p AS (SELECT listing_id, step, count(DISTINCT county_id) AS n, min(county_id) AS county_id FROM t GROUP BY listing_id, step QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY step) = 1)
         SELECT m.listing_id, CASE WHEN n = 1 THEN p.county_id END AS county_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS outcome FROM m LEFT JOIN p USING (listing_id)""",
@@ -420,7 +416,7 @@ SQL = {
     "unique_rule": "SELECT county_source_id, row_index, count(*) AS n FROM county_source_records WHERE county_source_id IS NOT NULL AND row_index IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "orphan_jobs": "SELECT job_id, listing_id FROM enrichment_jobs WHERE listing_id IS NOT NULL AND listing_id NOT IN (SELECT listing_id FROM marin WHERE crawl_status = 'success')",
     "review_flags": f"""SELECT listing_id, array_to_string(list_sort(list_filter([CASE WHEN c.slug IS NULL THEN 'unknown_county' END, CASE WHEN NOT ({_MISS.format('phone')}) AND length({_DIG.format('phone')}) < 10 THEN 'bad_phone' END, CASE WHEN crawl_status = 'failed' THEN 'crawl_failed' END], lambda x: x IS NOT NULL)), '|') AS needs_review
-        FROM marin m LEFT JOIN counties c ON {_SLUG.format('m.county')} = c.slug""",
+        FROM marin m LEFT JOIN counties c ON {_COUNTY_SLUG.format('m.county')} = c.slug""",
     "confidence_display": "SELECT record_id, CASE WHEN parse_confidence >= 0.85 THEN 'high' WHEN parse_confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM county_source_records",
     "evidence_confidence": f"""WITH x AS (SELECT listing_id, NOT ({_MISS.format('website_url')}) AS a, NOT ({_MISS.format('phone')}) AS b, coalesce(crawl_status = 'failed', false) AS c FROM marin)
         SELECT listing_id, round(least(greatest(0.2 + CASE WHEN a THEN 0.35 ELSE 0 END + CASE WHEN b THEN 0.25 ELSE 0 END + CASE WHEN c THEN -0.4 ELSE 0 END, 0), 1), 6) AS score,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import contacts as C
 from rosterlake.functions import places as P
 from rosterlake.functions import text as X
+from rosterlake.plans.fragments import COUNTY_SLUG as _COUNTY_SLUG, SLUG as _SLUG, SP as _SP, W as _W
 from rosterlake.session import table
 
 
@@ -104,7 +105,7 @@ def phrase_prevalence(spark, d):
 
 
 def city_clean(spark, d):
-    return table(spark, d, "vendors_placeid_smoke_out").select("row_id", P.clean_city(F.col("city")).alias("city"))
+    return table(spark, d, "vendors_placeid_smoke_out").select("row_id", P.clean_city(F.col("city"), X.county_slug(F.col("county"))).alias("city"))
 
 
 def city_from_address(spark, d):
@@ -114,15 +115,34 @@ def city_from_address(spark, d):
 QUERIES = {f.__name__: f for f in (name_keys, nfkd_keys, slugs, blank_to_null, blank_flags, email_extract, phone_extract, phone_normalise, website_canonical, host_rollup,
                                    blocklist_hosts, private_addresses, text_shape, opening_words, joined_location, rebased_paths, phrase_prevalence, city_clean, city_from_address)}
 
-_W = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_SP = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _BARE = r"regexp_replace(lower(regexp_replace(website_url, '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', '')"
 _HOST = rf"regexp_replace(regexp_replace(regexp_replace(regexp_extract({_BARE}, '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '')"
+
+
+def _phone_sql() -> str:
+    """The SQL of ``contacts.nanp`` and its check."""
+    dash = lambda x: f"substr({x}, 1, 3) || '-' || substr({x}, 4, 3) || '-' || substr({x}, 7, 4)"
+    one = "[2-9][0-9]{2}[2-9][0-9]{6}"
+    return rf"""WITH a AS (SELECT listing_id, phone, {_W.format('phone')} AS t FROM marin),
+        b AS (SELECT *, regexp_extract(t, '{C.EXTENSION}', 1) AS ext, {_W.format(f"regexp_replace(t, '{C.EXTENSION}', '')")} AS body FROM a),
+        e AS (SELECT *, list_transform(regexp_extract_all(body, '{C.NANP}'), lambda x: right(regexp_replace(x, '[^0-9]', '', 'g'), 10)) AS found, regexp_replace(body, '[^0-9]', '', 'g') AS d0, regexp_replace(phone, '[^0-9]', '', 'g') AS p0 FROM b),
+        f AS (SELECT *, CASE WHEN length(d0) = 11 AND d0 LIKE '1%' THEN substr(d0, 2, 10) ELSE d0 END AS d FROM e),
+        g AS (SELECT *, CASE WHEN len(found) > 0 AND NOT regexp_matches(body, '^{one}{one}$') THEN array_to_string(list_transform(found, lambda x: {dash('x')}), ' / ') WHEN regexp_matches(d, '^{one}{one}$') THEN {dash('d')} || ' / ' || {dash('substr(d, 11, 10)')} WHEN regexp_matches(d, '^{one}$') THEN {dash('d')} END AS main FROM f),
+        h AS (SELECT listing_id, CASE WHEN main IS NULL THEN t WHEN ext <> '' THEN main || ' ext. ' || ext ELSE main END AS nanp, CASE WHEN length(p0) = 11 AND p0 LIKE '1%' THEN substr(p0, 2, 10) ELSE p0 END AS digits FROM g)
+        SELECT *, len(list_filter(list_transform(string_split({_W.format(r"regexp_replace(nanp, '(?i)\s+ext\.\s*[0-9]{1,8}\s*$', '')")}, ' / '), lambda x: {_W.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^[2-9][0-9]{{2}}-[0-9]{{3}}-[0-9]{{4}}$'))) = 0 AS ok FROM h"""
+
+
 SQL = {
     "name_keys": rf"""SELECT listing_id, {_SP.format("regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")} AS ascii_key,
         {_SP.format("regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^\p{L}\p{N}_\s]', '', 'g')")} AS unicode_key, lower(trim(vendor_name, ' ')) AS listing_key,
         {_SP.format("regexp_replace(lower(" + _W.format("vendor_name") + r"), '[.,]+', ' ', 'g')")} AS soft_key, trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', ' ', 'g')) AS hard_key FROM marin""",
-    "slugs": rf"""WITH s AS (SELECT row_id, regexp_replace(regexp_replace(lower({_W.format('vendor_name')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM san_diego)
+    "phone_normalise": _phone_sql(),
+    "city_clean": rf"""WITH v AS (SELECT row_id, {_W.format('city')} AS t, replace({_COUNTY_SLUG.format('county')}, '-', ' ') AS name FROM vendors_placeid_smoke_out),
+        p AS (SELECT *, list_filter(list_transform(string_split_regex(t, '[/,]'), lambda x: {_W.format('x')}), lambda x: x <> '' AND lower(x) <> 'online' AND NOT regexp_matches(lower(x), '^[a-z]{{2}}$') AND NOT regexp_matches(lower(x), '\sco\.?$')
+            AND NOT regexp_matches(lower(x), 'county|counties') AND NOT regexp_matches(x, '{P.VENUE}')) AS raw FROM v),
+        c AS (SELECT *, list_transform(raw, lambda x: regexp_replace(x, '\s+(?:{'|'.join(P.STATES)})$', '')) AS parts FROM p)
+        SELECT row_id, CASE WHEN NOT (lower(t) IN ({', '.join("'" + x + "'" for x in P.NO_CITY)}) OR regexp_matches(lower(t), 'county|counties')) THEN coalesce(list_filter(parts, lambda x: contains(lower(x), name) OR contains(name, lower(x)))[1], parts[1]) END AS city FROM c""",
+    "slugs": rf"""WITH s AS (SELECT row_id, {_SLUG.format('vendor_name')} AS slug FROM san_diego)
         SELECT row_id, slug, regexp_replace(slug, '-[^-]*$', '') AS short_slug FROM s""",
     "blank_to_null": "SELECT listing_id, " + ", ".join(f"nullif({_W.format(c)}, '') AS {c}" for c in ("email", "phone", "address", "price_16hr_full", "vendor_description")) + " FROM marin",
     "blank_flags": f"""SELECT listing_id, coalesce(lower({_W.format('address')}), '') IN ('', 'null', 'none', 'nan') AS no_address,
