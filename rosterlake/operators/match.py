@@ -74,3 +74,78 @@ def resolve_cascade(df: DataFrame, value: str, ref: DataFrame, ref_id: str, keys
     out = df.join(best, value, "left")
     return out.withColumn("resolved", F.when(F.col("b.n") == 1, F.col("b._id"))).withColumn(
         "outcome", F.when(F.col("b").isNull(), "unknown").when(F.col("b.n") == 1, "found").otherwise("ambiguous")).drop("b")
+
+
+def _first_slugs(slugs: DataFrame) -> DataFrame:
+    """``part, n, first`` of each name part: a slug without what follows its last hyphen."""
+    return slugs.select("slug", F.regexp_replace("slug", r"-[^-]*$", "").alias("part")).groupBy("part").agg(F.count("*").alias("n"), F.min("slug").alias("first"))
+
+
+def slug_exact(names: DataFrame, slugs: DataFrame) -> DataFrame:
+    """``id, name, slug, method``: the slug of each name by its name part, by its domain if several have the
+    part (``domain``, else the first, ``ambiguous_exact``), or by the only slug that contains the first part
+    of its domain (``domain``); nulls where none does.
+
+    ``names`` has ``id, name`` (a slug) and ``domain`` (host with hyphens for full stops, empty if none);
+    ``slugs`` has unique ``slug``. Containment is looked up through runs of letters, never by comparing
+    every domain with every slug."""
+    parts = _first_slugs(slugs)
+    met = names.join(parts.withColumnRenamed("part", "name"), "name", "left")
+    # several slugs of one name: those that contain the start of the domain
+    head = F.substring("domain", 1, 12)
+    asked = met.where("n > 1 AND domain <> ''").select("name", head.alias("head")).distinct()
+    told = asked.join(slugs.select("slug", F.regexp_replace("slug", r"-[^-]*$", "").alias("name")), "name").where(F.contains("slug", F.col("head"))).groupBy("name", "head").agg(F.min("slug").alias("told"))
+    starts = F.col("name").startswith(F.substring("domain", 1, 8)) & (F.col("domain") != "")
+    # no slug of the name: the only one that contains the domain's first part, looked up by its first letters
+    hint = F.substring_index("domain", "-", 1)
+    run = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    hints = met.where("n IS NULL AND domain <> ''").select(hint.alias("hint")).where("hint <> ''").distinct()
+    hints = hints.select("hint", F.expr("substring(hint, 1, CASE WHEN length(hint) >= 8 THEN 8 WHEN length(hint) >= 3 THEN 3 ELSE 1 END)").alias("key"))
+    keys = slugs.select("slug", F.explode(F.array_distinct(F.concat(*[run(F.col("slug"), k) for k in (1, 3, 8)]))).alias("key"))
+    only = hints.join(keys, "key").where(F.contains("slug", F.col("hint"))).groupBy("hint").agg(F.min("slug").alias("a"), F.max("slug").alias("b")).where("a = b").select("hint", F.col("a").alias("only"))
+    out = met.withColumn("head", head).join(told, ["name", "head"], "left").withColumn("hint", F.when(F.col("n").isNull(), hint)).join(only, "hint", "left")
+    slug = F.when(F.col("n") == 1, F.col("first")).when(F.col("n") > 1, F.when(starts, F.col("first")).otherwise(F.coalesce("told", "first"))).otherwise(F.col("only"))
+    method = F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, F.when(starts | F.col("told").isNotNull(), "domain").otherwise("ambiguous_exact")).when(F.col("only").isNotNull(), "domain")
+    return out.select("id", "name", slug.alias("slug"), method.alias("method"))
+
+
+def slug_fuzzy(names: DataFrame, slugs: DataFrame, least: float = 0.72) -> DataFrame:
+    """``name, slug``: for each name (a slug) the most similar slug of at least ``least`` by
+    ``scoring.slug_similarity`` with the name part, the first slug on a tie.
+
+    A similarity of ``least`` needs a Jaccard index of (least - 0.45) / 0.55, so names and parts that share none
+    of their rarest words (the prefix that index asks for) are never compared: exact without all pairs."""
+    from rosterlake.functions.scoring import slug_similarity, slug_words
+
+    floor = (least - 0.45) / 0.55
+    parts = _first_slugs(slugs).select(F.col("part"), "first", F.array_distinct(slug_words(F.col("part"))).alias("words")).where("size(words) > 0")
+    df = parts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+    def rare(side: DataFrame, key: str) -> DataFrame:
+        """Each row's rarest words, as many as must meet one of the other side, with the words it has and
+        those behind the word."""
+        ranked = side.select(key, F.size("words").alias("k"), F.explode("words").alias("word")).join(df, "word", "left").groupBy(key, "k").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("w"))  # a name's words
+        first = F.slice("w", 1, (F.col("k") - F.ceil(floor * F.col("k") - 1e-9) + 1).cast("int"))
+        return ranked.select(key, F.col("k").alias(f"k_{key}"), F.posexplode(first).alias("i", "x")).select(key, f"k_{key}", (F.col(f"k_{key}") - 1 - F.col("i")).alias(f"left_{key}"), F.col("x.word").alias("word"))
+
+    asked = names.select("name").where("name <> ''").distinct().select("name", F.array_distinct(slug_words(F.col("name"))).alias("words")).where("size(words) > 0")
+    # at the first word they share, enough words must be left for the overlap that the index asks for
+    needed = floor / (1 + floor) * (F.col("k_name") + F.col("k_part")) - 1e-9
+    met = rare(asked, "name").join(rare(parts, "part"), "word").where(1 + F.least("left_name", "left_part") >= needed).select("name", "part").distinct()
+    met = met.join(asked.select("name", F.col("words").alias("wn")), "name").join(parts.select("part", "first", F.col("words").alias("wp")), "part")
+    # the sequence ratio is at most twice the shorter text over both
+    a, b = F.length(F.array_join("wn", "-")), F.length(F.array_join("wp", "-"))
+    met = met.where(0.55 * F.size(F.array_intersect("wn", "wp")) / F.size(F.array_union("wn", "wp")) + 0.45 * 2 * F.least(a, b) / (a + b) >= least - 1e-9)
+    near = met.select("name", "first", slug_similarity(F.col("name"), F.col("part")).alias("sim")).where(F.col("sim") >= least)
+    return near.groupBy("name").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("first").alias("slug"))).alias("b")).select("name", "b.slug")
+
+
+def slug_cascade(names: DataFrame, slugs: DataFrame) -> DataFrame:
+    """``id, slug, method`` of every name: ``slug_exact``, else ``slug_fuzzy`` (``fuzzy``), else the name's own
+    slug (``constructed``). A name without letters has an empty slug."""
+    one = slug_exact(names, slugs)
+    near = slug_fuzzy(one.where("method IS NULL"), slugs).withColumnRenamed("slug", "near")
+    out = one.join(near, "name", "left")
+    slug = F.when(F.col("method").isNotNull(), F.col("slug")).otherwise(F.coalesce("near", "name"))
+    return out.select("id", slug.alias("slug"), F.coalesce("method", F.when(F.col("near").isNotNull(), "fuzzy"), F.lit("constructed")).alias("method"))

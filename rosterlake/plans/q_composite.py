@@ -34,12 +34,21 @@ def positional_lookup(spark, d):
     return r.select("record_id", "county_source_id", "row_index").join(saved, ["county_source_id", "row_index"]).select("record_id", "saved_id")
 
 
+def _slug_sides(spark, d):
+    names = table(spark, d, "vendors_placeid_smoke_out").select(
+        F.col("row_id").alias("id"), F.coalesce(X.slugify(F.col("vendor_name")), F.lit("")).alias("name"), F.coalesce(F.replace(C.host(F.col("website_url")), F.lit("."), F.lit("-")), F.lit("")).alias("domain"))
+    slugs = table(spark, d, "marin").select(F.concat(X.slugify(F.col("vendor_name")), F.lit("-"), "listing_id").alias("slug")).where("slug IS NOT NULL")
+    return names, slugs
+
+
+def slug_exact(spark, d):
+    """Place rows' names to profile slugs by exact name and by domain."""
+    return match.slug_exact(*_slug_sides(spark, d)).select(F.col("id").alias("row_id"), "slug", "method")
+
+
 def slug_cascade(spark, d):
-    """Names resolved to listings: unique name slug, else unique slug without its last part."""
-    ref = dedupe.first_seen(table(spark, d, "marin").select("listing_id", X.slugify(F.col("vendor_name")).alias("slug")), ["slug"], "listing_id")
-    v = table(spark, d, "vendors_placeid_smoke_out").select("row_id", X.slugify(F.col("vendor_name")).alias("s"))
-    c = F.col("s")
-    return match.resolve_cascade(v, "s", ref, "listing_id", [(c, F.col("slug")), (X.drop_last_slug_part(c), F.col("slug")), (c, X.drop_last_slug_part(F.col("slug")))]).select("row_id", F.col("resolved").alias("listing_id"), "outcome")
+    """Place rows' names to profile slugs by the whole cascade: exact, domain, fuzzy, constructed."""
+    return match.slug_cascade(*_slug_sides(spark, d)).select(F.col("id").alias("row_id"), "slug", "method")
 
 
 def skip_reasons(spark, d):
@@ -135,7 +144,7 @@ def overlap_bands(spark, d):
     return v.groupBy(S.band(o, [(80, "high"), (58, "medium"), (35, "low")], "none").alias("band")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (lookup_with_default, semi_join_county, positional_lookup, slug_cascade, skip_reasons, rows_to_process, crawl_outcome, lookup_outcome, id_assembly, cleanup_pass, target_projection,
+QUERIES = {f.__name__: f for f in (lookup_with_default, semi_join_county, positional_lookup, slug_exact, slug_cascade, skip_reasons, rows_to_process, crawl_outcome, lookup_outcome, id_assembly, cleanup_pass, target_projection,
                                    url_set, evidence_check, combine_jsonl, report_rows, overlap_bands)}
 
 _ASCII = _SP.format(r"regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")
@@ -145,10 +154,12 @@ SQL = {
     "lookup_with_default": "SELECT job_id, coalesce(vendor_name, 'Vendor') AS vendor_name FROM enrichment_jobs LEFT JOIN marin USING (listing_id)",
     "semi_join_county": "SELECT job_id, listing_id FROM enrichment_jobs WHERE listing_id IN (SELECT listing_id FROM marin WHERE lower(trim(county, ' ')) = 'san-diego')",
     "positional_lookup": "SELECT record_id, min(record_id) OVER (PARTITION BY county_source_id, row_index) AS saved_id FROM county_source_records WHERE county_source_id IS NOT NULL AND row_index IS NOT NULL",
-    "slug_cascade": f"""WITH ref AS (SELECT min(listing_id) AS listing_id, slug FROM (SELECT listing_id, {_SLUG.format('vendor_name')} AS slug FROM marin) WHERE slug <> '' GROUP BY slug), v AS (SELECT row_id, {_SLUG.format('vendor_name')} AS s FROM vendors_placeid_smoke_out),
-        t AS (SELECT row_id, listing_id, 0 AS step FROM v JOIN ref ON s = slug UNION ALL SELECT row_id, listing_id, 1 FROM v JOIN ref ON regexp_replace(s, '-[^-]*$', '') = slug UNION ALL SELECT row_id, listing_id, 2 FROM v JOIN ref ON s = regexp_replace(slug, '-[^-]*$', '')),
-        p AS (SELECT row_id, step, count(DISTINCT listing_id) AS n, min(listing_id) AS listing_id FROM t GROUP BY row_id, step QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY step) = 1)
-        SELECT v.row_id, CASE WHEN n = 1 THEN p.listing_id END AS listing_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS outcome FROM v LEFT JOIN p USING (row_id)""",
+    "slug_exact": f"""WITH sl AS (SELECT {_SLUG.format('vendor_name')} || '-' || listing_id AS slug FROM marin WHERE vendor_name IS NOT NULL), pt AS (SELECT slug, regexp_replace(slug, '-[^-]*$', '') AS part FROM sl),
+        v AS (SELECT row_id, coalesce({_SLUG.format('vendor_name')}, '') AS name, coalesce(replace({_HOST}, '.', '-'), '') AS dom FROM vendors_placeid_smoke_out),
+        e AS (SELECT v.row_id, count(pt.slug) AS n, min(pt.slug) AS least_slug, min(CASE WHEN dom <> '' AND (contains(pt.slug, substr(dom, 1, 12)) OR starts_with(part, substr(dom, 1, 8))) THEN pt.slug END) AS told FROM v LEFT JOIN pt ON part = name GROUP BY v.row_id),
+        h AS (SELECT DISTINCT string_split(dom, '-')[1] AS hint FROM v JOIN e USING (row_id) WHERE n = 0 AND dom <> ''), o AS (SELECT hint, min(slug) AS only_slug FROM h JOIN sl ON contains(slug, hint) WHERE hint <> '' GROUP BY hint HAVING count(*) = 1)
+        SELECT row_id, CASE WHEN n = 1 THEN least_slug WHEN n > 1 THEN coalesce(told, least_slug) ELSE only_slug END AS slug, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN CASE WHEN told IS NOT NULL THEN 'domain' ELSE 'ambiguous_exact' END WHEN only_slug IS NOT NULL THEN 'domain' END AS method
+        FROM v JOIN e USING (row_id) LEFT JOIN o ON n = 0 AND hint = string_split(dom, '-')[1]""",
     "skip_reasons": f"SELECT CASE WHEN m.listing_id IS NULL THEN 'unknown_listing' WHEN {_MISS.format('website_url')} THEN 'no_site' WHEN crawl_status = 'failed' THEN 'failed_before' ELSE 'eligible' END AS reason, count(*) AS n FROM enrichment_jobs j LEFT JOIN marin m ON j.listing_id = m.listing_id GROUP BY 1",
     "rows_to_process": f"SELECT row_id FROM san_diego WHERE {_MISS.format('website_url')} ORDER BY row_id LIMIT 100",
     "crawl_outcome": rf"""WITH o AS (SELECT listing_id, address, CASE WHEN website_url IS NULL OR {_W.format('website_url')} = '' OR regexp_matches({_W.format('website_url')}, '\s') OR NOT regexp_matches(lower({_W.format('website_url')}), '^https?://[^/?#\s]*[a-z0-9]') THEN 'no_website'

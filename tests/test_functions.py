@@ -131,3 +131,35 @@ def test_job_settles(spark):
     df = spark.createDataFrame(rows, "job_id int, status string, attempts int, max_attempts int, e string")
     got = [(r.status, r.released) for r in jobs.settle(df, F.col("e")).orderBy("job_id").collect()]
     assert got == [("completed", False), ("queued", True), ("failed", False), ("queued", True), ("queued", False), (None, False)]
+
+
+def test_slug_cascade(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    words = ["oak", "ridge", "ccw", "training", "academy", "iron", "gate", "the", "llc", "harbor", "stag", "mesa"]
+    parts = sorted({"-".join(rng.sample(words, rng.randrange(1, 6))) for _ in range(120)})
+    names = sorted({"-".join(rng.sample(words, rng.randrange(1, 6))) for _ in range(80)} | {"", "llc"})
+    drop = {"llc", "inc", "corp", "co", "ltd", "the", "and"}
+
+    def similarity(a, b):
+        x, y = [t for t in a.split("-") if t and t not in drop], [t for t in b.split("-") if t and t not in drop]
+        if not x or not y:
+            return 0.0
+        return 0.55 * len(set(x) & set(y)) / len(set(x) | set(y)) + 0.45 * SequenceMatcher(None, "-".join(x), "-".join(y)).ratio()
+
+    slugs = [f"{p}-{i}" for i, p in enumerate(parts)]
+    want = {}
+    for n in names:
+        score, slug = max(((round(similarity(n, p), 9), s) for p, s in zip(parts, slugs)), key=lambda z: (z[0], [-ord(c) for c in z[1]]))
+        if score >= 0.72:
+            want[n] = score
+    frame = spark.createDataFrame([(s,) for s in slugs], "slug string")
+    got = {r.name: r.slug for r in match.slug_fuzzy(spark.createDataFrame([(n,) for n in names], "name string"), frame).collect()}
+    assert set(got) == set(want) and all(abs(similarity(n, s.rsplit("-", 1)[0]) - want[n]) < 1e-6 for n, s in got.items())
+    rows = [(1, "oak-gate", ""), (2, "twin", "zz-example"), (3, "twin", "b7-example"), (4, "none-such", "uniquedomain-example"), (5, "oak-gatte", ""), (6, "", "")]
+    more = spark.createDataFrame([("oak-gate-1",), ("twin-a1",), ("twin-b7-example",), ("my-uniquedomain-9",)], "slug string")
+    got = {r.id: (r.slug, r.method) for r in match.slug_cascade(spark.createDataFrame(rows, "id int, name string, domain string"), more).collect()}
+    assert got[1] == ("oak-gate-1", "exact") and got[2] == ("twin-a1", "ambiguous_exact") and got[4] == ("my-uniquedomain-9", "domain") and got[6] == ("", "constructed")
+    assert got[5] == ("oak-gatte", "constructed") and got[3] == ("twin-a1", "ambiguous_exact")
