@@ -158,8 +158,8 @@ def test_slug_cascade(spark):
     frame = spark.createDataFrame([(s,) for s in slugs], "slug string")
     got = {r.name: r.slug for r in match.slug_fuzzy(spark.createDataFrame([(n,) for n in names], "name string"), frame).collect()}
     assert set(got) == set(want) and all(abs(similarity(n, s.rsplit("-", 1)[0]) - want[n]) < 1e-6 for n, s in got.items())
-    rows = [(1, "oak-gate", ""), (2, "twin", "zz-example"), (3, "twin", "b7-example"), (4, "none-such", "uniquedomain-example"), (5, "oak-gatte", ""), (6, "", "")]
-    more = spark.createDataFrame([("oak-gate-1",), ("twin-a1",), ("twin-b7-example",), ("my-uniquedomain-9",)], "slug string")
+    rows = [(1, "oak-gate", ""), (2, "twin", "zz-example"), (3, "twin", "b7"), (4, "none-such", "uniquedomain-example"), (5, "oak-gatte", ""), (6, "", "")]
+    more = spark.createDataFrame([("oak-gate-1",), ("twin-a1",), ("twin-b7",), ("my-uniquedomain-9",)], "slug string")
     got = {r.id: (r.slug, r.method) for r in match.slug_cascade(spark.createDataFrame(rows, "id int, name string, domain string"), more).collect()}
     assert got[1] == ("oak-gate-1", "exact") and got[2] == ("twin-a1", "ambiguous_exact") and got[4] == ("my-uniquedomain-9", "domain") and got[6] == ("", "constructed")
-    assert got[5] == ("oak-gatte", "constructed") and got[3] == ("twin-a1", "ambiguous_exact")
+    assert got[5] == ("oak-gatte", "constructed") and got[3] == ("twin-b7", "domain")
