@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     """(membership ``id, node``; nodes ``node, ws`` with the sorted hashes of distinct words).
 
     A node is the least id of the rows with the same word set, which two 64-bit hashes identify."""
-    toks = df.select(F.col(id_col).alias("id"), words_of(text_col).alias("w")).where(F.size("w") >= min_words)
+    # generated rather than projected, or the filter would move below and split every text twice
+    toks = df.select(F.col(id_col).alias("id"), F.explode(F.array(words_of(text_col))).alias("w")).where(F.size("w") >= min_words)
     sets = toks.select("id", F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD_BITS)))).alias("ws"))
     sets = materialise(sets.select("id", "ws", F.xxhash64("ws").alias("k1"), F.expr("xxhash64(ws, 7)").alias("k2")), "p4w")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("n")), "p4l")
@@ -106,25 +108,29 @@ def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     """``node, keys, s0, s1, n``: one key per band, the sketch bits and the set size; materialised."""
     m = bands * rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at:at + 1000]
-                sizes = np.fromiter(map(len, part["ws"]), np.int64, len(part))
-                sig = signatures(np.concatenate(part["ws"].to_numpy()).astype(np.int64).view(np.uint64), sizes, m)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # lists go in and out as flat arrays with offsets, without an object per row
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                part = whole.slice(at, 1000)
+                ws = part.column("ws")
+                sizes = ws.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                sig = signatures(ws.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, m)
                 raw = _mix(sig.view(np.uint64) + np.arange(m, dtype=np.uint64))
                 # one bit of each of the slots of the first SKETCH_BITS
                 bits = np.packbits((raw[:, :SKETCH_BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                keys = np.zeros((len(part), bands), np.uint64)
+                keys = np.zeros((len(sizes), bands), np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + raw[:, r::rows])
                     # the band and 40 bits of hash; a false meeting is verified away
                     keys = keys >> np.uint64(24) | np.arange(bands, dtype=np.uint64) << np.uint64(40)
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "keys": list(keys.view(np.int64)), "s0": bits[:, 0], "s1": bits[:, 1], "n": sizes})
+                offsets = pa.array(np.arange(0, (len(sizes) + 1) * bands, bands, dtype=np.int32))
+                listed = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), listed, pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.array(sizes)], names=["node", "keys", "s0", "s1", "n"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return materialise(nodes.mapInPandas(run, f"node {kind}, keys array<bigint>, s0 bigint, s1 bigint, n bigint"), "p4s")
+    return materialise(nodes.mapInArrow(run, f"node {kind}, keys array<bigint>, s0 bigint, s1 bigint, n bigint"), "p4s")
 
 
 def bucket_pairs(keyed: DataFrame) -> DataFrame:
