@@ -67,4 +67,4 @@ def words_any_order(text: Column) -> Column:
     words, white space collapses and the words are sorted. Null stays null."""
     bare = F.regexp_replace(F.lower(text), r"[.'’‘ʼ`´]", "")
     parts = F.split(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}\p{M}]+", " ")), " ")
-    return F.array_join(F.array_sort(parts), " ")
+    return F.array_join(F.sort_array(parts), " ")

@@ -83,7 +83,7 @@ def organisations(df: DataFrame, id_col: str, name: str) -> DataFrame:
     forms = materialise(forms, "p3f")
     spelt = materialise(forms.groupBy("tok").agg(F.sum("nd").alias("df"), F.min("node").alias("root")), "p3t")
     # each form is indexed by its words as written and in sorted order
-    index = materialise(forms.select("node", F.explode(F.array_distinct(F.array("tok", F.array_join(F.array_sort("parts"), "")))).alias("tok")), "p3y")
+    index = materialise(forms.select("node", F.explode(F.array_distinct(F.array("tok", F.array_join(F.sort_array("parts"), "")))).alias("tok")), "p3y")
     near = materialise(near_tokens(index.select("tok").distinct()), "p3w")
     met = near.join(index.toDF("na", "a"), "a").join(index.toDF("nb", "b"), "b").select(F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
     # equal sorted words: each form meets the least of them
@@ -111,7 +111,7 @@ def organisations(df: DataFrame, id_col: str, name: str) -> DataFrame:
 def abbreviated(named: DataFrame) -> DataFrame:
     """Forms with a telling word given as an initial join the only organisation whose words they fit: the
     same longest word and the same first letters. Organisations are counted per key, never paired."""
-    key = F.struct(F.expr("array_max(transform(parts, x -> struct(length(x) AS l, x AS w))).w").alias("word"), F.array_sort(F.transform("parts", lambda x: F.substring(x, 1, 1))).alias("firsts"))
+    key = F.struct(F.expr("array_max(transform(parts, x -> struct(length(x) AS l, x AS w))).w").alias("word"), F.sort_array(F.transform("parts", lambda x: F.substring(x, 1, 1))).alias("firsts"))
     short = F.exists("parts", lambda x: F.length(x) == 1) & (F.size("parts") > 1)
     full = named.where(~short).groupBy(key.alias("key")).agg(F.min("org").alias("only"), F.max("org").alias("last")).where("only = last").select("key", "only")
     hit = named.where(short).withColumn("key", key).join(full, "key", "left").select("parts", "trade", "n", F.coalesce("only", "org").alias("org"))

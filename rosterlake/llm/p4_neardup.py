@@ -95,7 +95,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     A node is the least id of the rows with the same word set, which two 64-bit hashes identify."""
     # generated rather than projected, or the filter would move below and split every text twice
     toks = df.select(F.col(id_col).alias("id"), F.explode(F.array(words_of(text_col))).alias("w")).where(F.size("w") >= min_words)
-    sets = toks.select("id", F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD_BITS)))).alias("ws"))
+    sets = toks.select("id", F.sort_array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD_BITS))))).alias("ws"))
     sets = materialise(sets.select("id", "ws", F.xxhash64("ws").alias("k1"), F.expr("xxhash64(ws, 7)").alias("k2")), "p4w")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("n")), "p4l")
     member = materialise(skewless_lookup(sets.select("id", "k1", "k2"), least, ["k1", "k2"], "n").select("id", "node"), "p4m")
@@ -136,9 +136,9 @@ def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
 def bucket_pairs(keyed: DataFrame) -> DataFrame:
     """Candidates ``a < b`` and, with ``b`` null, one row ``key, a`` per node of each large bucket.
 
-    One shuffle: rows sorted by key stream through each task, which holds one bucket's first STAR
+    One shuffle: rows sorted by key (the order of a bucket's nodes doesn't matter) stream through each task, which holds one bucket's first STAR
     nodes at most, so a bucket of any size passes in bounded memory."""
-    flat = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    flat = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")  # one long: a radix sort
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry_key, carry = None, np.empty(0, np.int64)  # first nodes of the bucket that goes on
@@ -179,8 +179,9 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
             last, n_last = starts[-1], sizes[-1]
             carried = (seen + n_last - first_new) if (last == 0 and seen) else n_last
             carry_key, carry = key[-1], node[last:last + min(n_last, STAR)]
-            out = pd.DataFrame({"key": np.concatenate(k), "a": np.concatenate(a), "b": np.concatenate(b)})
-            yield out
+            a, b = np.concatenate(a), np.concatenate(b)
+            swap = (b != -1) & (a > b)
+            yield pd.DataFrame({"key": np.concatenate(k), "a": np.where(swap, b, a), "b": np.where(swap, a, b)})
 
     kind = keyed.schema["node"].dataType.simpleString()
     return flat.mapInPandas(run, f"key bigint, a {kind}, b {kind}")

@@ -37,7 +37,7 @@ def encode_records(records: DataFrame, id_col: str, fields: tuple[str, ...] = FI
     for i in range(len(fields)):
         side = materialise(words.where(F.col("fno") == i).select(F.col("raw").alias(f"_raw{i}"), F.col("vid").alias(f"_v{i}"), "n"), "p7s")
         out = skewless_lookup(out, side, [f"_raw{i}"], "n").drop(f"_raw{i}")
-    tuple_ = F.array_sort(F.array(*[F.lit(i << 58).cast("long") + F.col(f"_v{i}") for i in range(len(fields))]))
+    tuple_ = F.sort_array(F.array(*[F.lit(i << 58).cast("long") + F.col(f"_v{i}") for i in range(len(fields))]))
     return out.select(id_col, tuple_.alias("key"))
 
 
