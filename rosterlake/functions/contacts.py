@@ -107,3 +107,15 @@ def is_private_ipv4(c: Column) -> Column:
     a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
     private = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
     return F.when(valid, private)
+
+
+def is_private_address(c: Column) -> Column:
+    """As ``is_private_ipv4``, and for IPv6: loopback, unique local (fc, fd), link-local (fe80) and
+    addresses that map a private IPv4 one; null for anything that is neither."""
+    t = F.lower(strip_ws(c))
+    mapped = F.regexp_extract(t, r"^::ffff:([0-9.]+)$", 1)
+    six = t.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$")
+    return (
+        F.when(mapped != "", is_private_ipv4(mapped)).when(t == "::1", F.lit(True))
+        .when(six, t.rlike("^f[cd]") | t.startswith("fe80:")).otherwise(is_private_ipv4(t))
+    )

@@ -64,3 +64,13 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> Dat
 
 def share(cond: Column) -> Column:
     return F.round(100.0 * F.count_if(cond) / F.greatest(F.count("*"), F.lit(1)), 1)
+
+
+def head_sample(df: DataFrame, by: list, text: str, n: int) -> DataFrame:
+    """``position, line`` of the first n rows in an order (a distributed top-n), and a last line
+    ``... and N more`` if there are more. An empty table gives no lines."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    top = df.select(F.col(text).alias("line"), *[c.alias(k) for c, k in zip(by, keys)]).orderBy(*keys).limit(n)
+    lines = top.select(F.row_number().over(W.orderBy(*keys)).alias("position"), "line")  # n rows
+    rest = df.agg((F.count("*") - n).alias("more")).where("more > 0")
+    return lines.unionByName(rest.select(F.lit(n + 1).alias("position"), F.concat(F.lit("... and "), "more", F.lit(" more")).alias("line")))

@@ -51,6 +51,12 @@ def slug_cascade(spark, d):
     return match.slug_cascade(*_slug_sides(spark, d)).select(F.col("id").alias("row_id"), "slug", "method")
 
 
+def failed_head(spark, d):
+    """The first twelve failed listings by name and id (missing names last) and how many more there are."""
+    m = table(spark, d, "marin").where("crawl_status = 'failed'")
+    return report.head_sample(m, [F.col("vendor_name").isNull(), F.col("vendor_name"), F.col("listing_id")], "vendor_name", 12)
+
+
 def skip_reasons(spark, d):
     """Why jobs can't be processed, counted."""
     m = table(spark, d, "marin").select("listing_id", "website_url", "crawl_status", F.lit(True).alias("known"))
@@ -144,7 +150,7 @@ def overlap_bands(spark, d):
     return v.groupBy(S.band(o, [(80, "high"), (58, "medium"), (35, "low")], "none").alias("band")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (lookup_with_default, semi_join_county, positional_lookup, slug_exact, slug_cascade, skip_reasons, rows_to_process, crawl_outcome, lookup_outcome, id_assembly, cleanup_pass, target_projection,
+QUERIES = {f.__name__: f for f in (lookup_with_default, semi_join_county, positional_lookup, slug_exact, slug_cascade, failed_head, skip_reasons, rows_to_process, crawl_outcome, lookup_outcome, id_assembly, cleanup_pass, target_projection,
                                    url_set, evidence_check, combine_jsonl, report_rows, overlap_bands)}
 
 _ASCII = _SP.format(r"regexp_replace(lower(" + _W.format("vendor_name") + r"), '[^A-Za-z0-9_\s]', '', 'g')")
@@ -160,6 +166,8 @@ SQL = {
         h AS (SELECT DISTINCT string_split(dom, '-')[1] AS hint FROM v JOIN e USING (row_id) WHERE n = 0 AND dom <> ''), o AS (SELECT hint, min(slug) AS only_slug FROM h JOIN sl ON contains(slug, hint) WHERE hint <> '' GROUP BY hint HAVING count(*) = 1)
         SELECT row_id, CASE WHEN n = 1 THEN least_slug WHEN n > 1 THEN coalesce(told, least_slug) ELSE only_slug END AS slug, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN CASE WHEN told IS NOT NULL THEN 'domain' ELSE 'ambiguous_exact' END WHEN only_slug IS NOT NULL THEN 'domain' END AS method
         FROM v JOIN e USING (row_id) LEFT JOIN o ON n = 0 AND hint = string_split(dom, '-')[1]""",
+    "failed_head": """WITH f AS (SELECT vendor_name, row_number() OVER (ORDER BY vendor_name NULLS LAST, listing_id) AS position FROM marin WHERE crawl_status = 'failed')
+        SELECT CAST(position AS INT) AS position, vendor_name AS line FROM f WHERE position <= 12 UNION ALL SELECT 13, '... and ' || (count(*) - 12) || ' more' FROM f HAVING count(*) > 12""",
     "skip_reasons": f"SELECT CASE WHEN m.listing_id IS NULL THEN 'unknown_listing' WHEN {_MISS.format('website_url')} THEN 'no_site' WHEN crawl_status = 'failed' THEN 'failed_before' ELSE 'eligible' END AS reason, count(*) AS n FROM enrichment_jobs j LEFT JOIN marin m ON j.listing_id = m.listing_id GROUP BY 1",
     "rows_to_process": f"SELECT row_id FROM san_diego WHERE {_MISS.format('website_url')} ORDER BY row_id LIMIT 100",
     "crawl_outcome": rf"""WITH o AS (SELECT listing_id, address, CASE WHEN website_url IS NULL OR {_W.format('website_url')} = '' OR regexp_matches({_W.format('website_url')}, '\s') OR NOT regexp_matches(lower({_W.format('website_url')}), '^https?://[^/?#\s]*[a-z0-9]') THEN 'no_website'

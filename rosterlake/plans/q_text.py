@@ -77,6 +77,14 @@ def private_addresses(spark, d):
     return table(spark, d, "events").select("event_id", C.is_private_ipv4(ip.cast("string")).alias("is_private"))
 
 
+def private_addresses_six(spark, d):
+    """Event ids written as IPv6 addresses, some of them mapped IPv4 ones; private or not."""
+    k, h = F.pmod("event_id", F.lit(7)), F.lower(F.hex(F.pmod(F.col("event_id") * 7919, F.lit(65536))))
+    four = F.concat_ws(".", F.pmod("user_id", F.lit(256)), F.pmod("event_id", F.lit(256)), F.lit("0"), F.lit("9"))
+    ip = F.when(k == 0, F.concat(F.lit("::ffff:"), four)).when(k == 1, F.lit("::1")).when(k == 2, F.lit("not one")).otherwise(F.concat(h, F.lit("::"), F.lower(F.hex(k))))
+    return table(spark, d, "events").select("event_id", C.is_private_address(ip).alias("is_private"))
+
+
 def text_shape(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").where("text IS NOT NULL").select(
@@ -113,7 +121,7 @@ def city_from_address(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (name_keys, nfkd_keys, slugs, blank_to_null, blank_flags, email_extract, phone_extract, phone_normalise, website_canonical, host_rollup,
-                                   blocklist_hosts, private_addresses, text_shape, opening_words, joined_location, rebased_paths, phrase_prevalence, city_clean, city_from_address)}
+                                   blocklist_hosts, private_addresses, private_addresses_six, text_shape, opening_words, joined_location, rebased_paths, phrase_prevalence, city_clean, city_from_address)}
 
 _BARE = r"regexp_replace(lower(regexp_replace(website_url, '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', '')"
 _HOST = rf"regexp_replace(regexp_replace(regexp_replace(regexp_extract({_BARE}, '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '')"
@@ -154,6 +162,9 @@ SQL = {
         AND NOT ({' OR '.join(f"h = '{b}' OR h LIKE '%.{b}'" for b in BLOCKED)})""",
     "private_addresses": """WITH p AS (SELECT event_id, event_id % 256 AS a, user_id % 256 AS b, event_id % 300 AS dd FROM events)
         SELECT event_id, CASE WHEN dd <= 255 THEN a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) END AS is_private FROM p""",
+    "private_addresses_six": """WITH p AS (SELECT event_id, event_id % 7 AS k, lower(to_hex(event_id * 7919 % 65536)) AS h, user_id % 256 AS a, event_id % 256 AS b FROM events)
+        SELECT event_id, CASE k WHEN 0 THEN a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) WHEN 1 THEN true WHEN 2 THEN NULL
+            ELSE regexp_matches(h, '^f[cd]') OR h = 'fe80' END AS is_private FROM p""",
     "text_shape": rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z'']+')) AS n_tokens,
         len(list_filter(string_split(regexp_replace({_W.format('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS n_sentences FROM documents WHERE text IS NOT NULL""",
     "opening_words": rf"""WITH f AS (SELECT listing_id, coalesce(list_filter(string_split(regexp_replace({_W.format('vendor_description')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')[1], '') AS s

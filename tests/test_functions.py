@@ -163,3 +163,11 @@ def test_slug_cascade(spark):
     got = {r.id: (r.slug, r.method) for r in match.slug_cascade(spark.createDataFrame(rows, "id int, name string, domain string"), more).collect()}
     assert got[1] == ("oak-gate-1", "exact") and got[2] == ("twin-a1", "ambiguous_exact") and got[4] == ("my-uniquedomain-9", "domain") and got[6] == ("", "constructed")
     assert got[5] == ("oak-gatte", "constructed") and got[3] == ("twin-b7", "domain")
+
+
+def test_addresses_and_head(spark):
+    ips = ["::1", "fe80::1", "fd12::9", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "2001:db8::1", "127.0.0.1", "8.8.8.8", "none", None]
+    assert col(spark, C.is_private_address, ips) == [True, True, True, True, False, False, True, False, None, None]
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "i int, t string")
+    assert [tuple(r) for r in report.head_sample(df, [F.col("i")], "t", 3).orderBy("position").collect()] == [(1, "r0"), (2, "r1"), (3, "r2"), (4, "... and 2 more")]
+    assert report.head_sample(df.where("i > 9"), [F.col("i")], "t", 3).count() == 0 and report.head_sample(df, [F.col("i")], "t", 5).count() == 5
