@@ -50,6 +50,26 @@ def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.DoubleType())
+def ratio_from_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """``sequence_ratio_udf`` of texts where the letters they have in common, in any order, allow at least
+    ``least``; else 0."""
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    def letters(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) % 64
+        return np.bincount(np.repeat(np.arange(len(n)), n) * 64 + codes, minlength=64 * len(n)).reshape(-1, 64), n
+
+    (x, m), (y, n) = letters(a), letters(b)
+    out = np.zeros(len(a))
+    for i in np.flatnonzero(2 * np.minimum(x, y).sum(1) >= (least.to_numpy(float) - 1e-9) * (m + n)):
+        out[i] = SequenceMatcher(None, a.iat[i], b.iat[i]).ratio()
+    return pd.Series(out)
+
+
 def slug_words(c: Column) -> Column:
     """The parts of a slug that tell names apart."""
     # Legal forms and joining words
