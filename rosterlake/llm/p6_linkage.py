@@ -19,8 +19,7 @@ others (Fellegi and Sunter's model) is fitted by expectation maximisation to the
 agreement patterns; how many names share a phone or site is part of its pattern. The posterior of a
 pair is its confidence; a listing gets the most probable target if that is more likely than not.
 
-An attribute's walk targets are a bounded random sample of its records (that is what a walk sees);
-every record walks, is indexed and is matched. Rows without a telling name match nothing; blank or
+Every record walks, is indexed and is matched; each walk draws its own records. Rows without a telling name match nothing; blank or
 null place ids are no target. A listing gets at most one place id."""
 
 from __future__ import annotations
@@ -40,6 +39,10 @@ from rosterlake.session import drop_work, materialise, table
 
 DIM = 64
 WALKS = 2
+#: Of a window of three nodes.
+FAR_WEIGHT = 1 / 3
+#: Records of an attribute that one task holds at most, about.
+BLOCK = 100_000
 #: Low bits of a context's hash that hold twice the binary logarithm of its attribute's degree.
 DEGREE_BITS = 6
 #: Contexts of a larger share of the records weigh by their inverse degree.
@@ -118,25 +121,71 @@ def attributes(nodes: DataFrame) -> DataFrame:
 
 def walk_contexts(nodes: DataFrame) -> DataFrame:
     """The nodes with ``ctx``: hashes of the attribute nodes that each record's walks visit (its own
-    included), the degree of its own ones in their low bits (0: not known).
+    included), with degrees in the low bits (0: not known).
 
-    What lies beyond an attribute is sampled once per attribute: two of its records (those with the least
-    and the largest hash of the attribute a walk would go on to), so that walks cost one aggregation and
-    one join and no list of an attribute's records exists."""
+    A walk leaves by one of the record's attributes (the race in ``WALKS`` clocks), goes to a record that it draws
+    for itself among all others of that attribute (``step_through``) and on to one of that record's name, phone or
+    site, drawn for this walk too."""
     edges = attributes(nodes).select("rec", "own", F.explode("attrs").alias("attr"))
-    beyond = edges.select("attr", F.expr("own[pmod(xxhash64(rec, attr), size(own))]").alias("to"))
     # nodes of degree 1 lead nowhere and are no context (the usual minimum count of skip-gram)
-    known = beyond.groupBy("attr").agg(F.count("*").alias("n"), F.min("to").alias("to1"), F.max("to").alias("to2")).where("n > 1").withColumn("df", F.col("n"))
-    met = skewless_lookup(edges.select("rec", "attr"), materialise(known, "p6a"), ["attr"], "n")
-    # the degree goes along with a context, and ``embed`` lets common ones weigh less
-    clear = F.lit(-1 << DEGREE_BITS)
-    near = F.col("attr").bitwiseAND(clear).bitwiseOR(F.least(F.round(2 * F.log2("df")), F.lit((1 << DEGREE_BITS) - 1)).cast("bigint"))
-    # walk i leaves by the attribute that wins a race of exponential clocks, slower for a larger degree: inverse-degree choice
-    clock = lambda i: (-F.log((F.pmod(F.xxhash64("rec", F.lit(i), "attr"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30) + 2)) * F.col("df")).cast("float")
-    met = met.select("rec", near.alias("near"), "to1", "to2", *[clock(i).alias(f"c{i}") for i in range(WALKS)])
-    atts = met.groupBy("rec").agg(F.collect_list("near").alias("near"), *[F.min_by(f"to{i % 2 + 1}", f"c{i}").bitwiseAND(clear).alias(f"far{i}") for i in range(WALKS)])  # a row's few attributes
+    known = edges.groupBy("attr").agg(F.count("*").alias("n"))
+    hot = materialise(known.where(F.col("n") > BLOCK), "p6a")  # few: an attribute of so many records
+    met = step_through(edges, hot)
+    met = materialise(met, "p6e", "lz4")
+    atts = met.groupBy("rec").agg(F.collect_list("near").alias("near"), *[F.min_by(f"far{i}", f"c{i}").alias(f"far{i}") for i in range(WALKS)])  # a row's few attributes
+    drop_work(hot)
     ctx = F.concat("near", F.array(*[f"far{i}" for i in range(WALKS)]))
-    return materialise(nodes.join(atts.select("rec", ctx.alias("ctx")), "rec", "left").withColumn("ctx", F.coalesce("ctx", F.array().cast("array<bigint>"))), "p6c")
+    out = materialise(nodes.join(atts.select("rec", ctx.alias("ctx")), "rec", "left").withColumn("ctx", F.coalesce("ctx", F.array().cast("array<bigint>"))), "p6c")
+    drop_work(met)
+    return out
+
+
+def step_through(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rec, near, far0, c0, ...`` of every edge ``rec, own, attr`` whose attribute other records have too: the
+    attribute with its degree, and for each walk the context it reaches through it (of the ``own`` of a record drawn
+    uniformly among the attribute's others) and its clock.
+
+    The records of an attribute meet in one task, in blocks of about BLOCK by their hash where it is ``hot`` (a walk
+    then draws within its record's block, which is a random part of the attribute), so no task has to
+    hold an attribute of any size."""
+    # a walk goes on from the record it meets by a draw of its own: two draws of that record, of which it takes one
+    draws = [F.expr(f"own[pmod(xxhash64(rec, attr, {i}), size(own))]").alias(f"to{i}") for i in range(WALKS)]
+    flat = edges.select("rec", "attr", *draws).join(F.broadcast(hot), "attr", "left")
+    flat = flat.withColumn("block", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rec", F.lit(5)), F.ceil(F.col("n") / BLOCK))).cast("int"))
+    clear = np.int64(-1 << DEGREE_BITS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from rosterlake.llm.p4_neardup import _mix
+
+        parts = list(batches)  # a task's share of the edges: flat numbers
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        del parts
+        # the order within an attribute is that of the records' hashes, the same in every run
+        pdf = pdf.iloc[np.lexsort((pdf["rec"], pdf["block"], pdf["attr"]))]
+        rec, attr, block = (pdf[c].to_numpy() for c in ("rec", "attr", "block"))
+        start = np.flatnonzero(np.append(True, (attr[1:] != attr[:-1]) | (block[1:] != block[:-1])))
+        size = np.diff(np.append(start, len(attr)))
+        first, n = np.repeat(start, size), np.repeat(size, size)
+        degree = np.where(pdf["n"].isna(), n, pdf["n"]).astype(np.int64)
+        some = degree > 1
+        out = {"rec": rec, "near": attr & clear | np.minimum(np.round(2 * np.log2(degree)), (1 << DEGREE_BITS) - 1).astype(np.int64)}
+        with np.errstate(over="ignore"):
+            seed = _mix(rec.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(attr.view(np.uint64)))
+            for i in range(WALKS):
+                r = _mix(seed + np.uint64(2 * i + 1))
+                here = np.arange(len(attr)) - first
+                # one of the n - 1 others, each alike
+                there = first + (here + 1 + (r % np.maximum(n - 1, 1).astype(np.uint64)).astype(np.int64)) % n
+                to = np.where(_mix(r) & np.uint64(1), pdf["to0"].to_numpy()[there], pdf[f"to{WALKS - 1}"].to_numpy()[there])
+                out[f"far{i}"] = to & clear
+                # walk i leaves by the attribute that wins a race of exponential clocks, slower for a larger degree: inverse-degree choice
+                out[f"c{i}"] = (-np.log(((_mix(r + np.uint64(1)) >> np.uint64(11)).astype(float) + 1) / (2.0**53 + 2)) * degree).astype(np.float32)
+        yield pd.DataFrame(out)[some]
+
+    walks = ", ".join(f"far{i} bigint, c{i} float" for i in range(WALKS))
+    return flat.repartition("attr", "block").mapInPandas(run, f"rec bigint, near bigint, {walks}")
 
 
 def _signs(ids: np.ndarray) -> np.ndarray:
@@ -159,9 +208,8 @@ def skip_gram(owner: np.ndarray, ids: np.ndarray, n: int, steps: int = 2, rate:
     owner, ids = owner[order], ids[order]
     weight = np.ones(len(ids), np.float32) if weight is None else weight[order]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(ids))).astype(np.float32)[:, None]
+    times = (np.add.reduceat(weight, first) if len(ids) else weight).astype(np.float32)[:, None]
     owner, ids = owner[first], ids[first]
-    times *= weight[first][:, None]
     u = _signs(ids)
     counts = np.maximum(np.bincount(owner, times[:, 0], minlength=n), 1e-9).astype(np.float32)[:, None]
     starts = np.searchsorted(owner, np.arange(n))
@@ -189,8 +237,12 @@ def embed(contexts: DataFrame, records: int) -> DataFrame:
                 part = pdf.iloc[at:at + 4000]
                 sizes = np.fromiter(map(len, part["ctx"]), np.int64, len(part))
                 ids = np.concatenate([np.zeros(0, np.int64), *part["ctx"]]).astype(np.int64)
-                weight = np.exp2(-np.maximum((ids & ((1 << DEGREE_BITS) - 1)) / 2 - common, 0)).astype(np.float32)
-                v = skip_gram(np.repeat(np.arange(len(part)), sizes), ids, len(part), weight=weight)
+                low = ids & ((1 << DEGREE_BITS) - 1)
+                weight = np.exp2(-np.maximum(low / 2 - common, 0)).astype(np.float32)
+                # the window shrinks at random in skip-gram, so a node three steps away counts by FAR_WEIGHT
+                weight[low == 0] = FAR_WEIGHT
+                # an attribute is one node, near or far
+                v = skip_gram(np.repeat(np.arange(len(part)), sizes), ids ^ low, len(part), weight=weight)
                 side = v @ planes > 0
                 bits = side[:, :TABLES * BITS].reshape(len(part), TABLES, BITS)
                 keys = bits @ (1 << np.arange(BITS, dtype=np.int64)) + (np.arange(TABLES, dtype=np.int64) << BITS)
