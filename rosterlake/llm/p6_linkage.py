@@ -125,7 +125,7 @@ def walk_contexts(nodes: DataFrame) -> DataFrame:
 
     A walk leaves by one of the record's attributes (the race in ``WALKS`` clocks), goes to a record that it draws
     for itself among all others of that attribute (``step_through``) and on to one of that record's name, phone or
-    site, drawn for this walk too."""
+    site, one of two that the record has drawn for this attribute."""
     edges = attributes(nodes).select("rec", "own", F.explode("attrs").alias("attr"))
     # nodes of degree 1 lead nowhere and are no context (the usual minimum count of skip-gram)
     known = edges.groupBy("attr").agg(F.count("*").alias("n"))
