@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rosterlake.functions.text import opening_key, sentences, strip_ws, tokens
+from rosterlake.operators import closeness
 from rosterlake.session import drop_work, materialise
 
 #: Texts of one pass of the nearest-neighbour search (broadcast), and of one product of matrices.
@@ -172,19 +173,34 @@ def uniqueness_score(size: Column, distance: Column, similarity: Column, modal:
     )
 
 
+#: The similarities at which a score changes.
+CUTS = (0.45, 0.55, 0.65, 0.72)
+
+
+def _cuts(size: Column, distance: Column, modal: Column) -> Column:
+    """The cuts of ``uniqueness_score`` that decide a text, as bits by their place in CUTS."""
+    small = F.when((size <= 2) & (distance >= 0.35), 1).otherwise(0) + F.when((size <= 5) & (distance >= 0.25), 2).otherwise(0)
+    return F.when(size <= 15, small + 4).when((size > 40) & ~modal, 8).otherwise(0)
+
+
 def uniqueness(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, score`` of every text that isn't blank. The nearest similarity is searched for where a cut
-    of the score depends on it: openings of at most 15 texts, or of more than 40 without the modal
-    sentence count; from 0.72 on it no longer matters how near."""
-    m = df.where(strip_ws(F.col(text)) != "").select(F.col(id_col).alias("id"), text)
-    w = materialise(tfidf(m, "id", text), "tfidf")
-    k = m.select("id", opening_key(F.col(text)).alias("opening"), F.greatest(F.size(sentences(F.col(text))), F.lit(1)).alias("n_s"), (F.size(tokens(F.col(text))) == 0).alias("wordless"))
+    """``id, score`` of every text that isn't blank. Texts of equal words are one; of those that have no equal
+    only the cuts of the score that depend on the nearest similarity are searched for."""
+    m = df.where(strip_ws(F.col(text)) != "").select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    words, bag = closeness.bag_of("text")
+    k = m.select("id", opening_key(F.col("text")).alias("opening"), F.greatest(F.size(sentences(F.col("text"))), F.lit(1)).alias("n_s"), bag.alias("bag"), (F.size(words) == 0).alias("wordless"))
+    k = materialise(k, "tk")
+    bags = materialise(k.where(~F.col("wordless")).groupBy("bag").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "tb")
+    given = m.join(bags.withColumnRenamed("bag", "own"), "id").select("id", bag.alias("bag"), "own", "copies", words.alias("t")).where("bag = own")
+    texts, idfs = closeness.vectors(given, k.count())
     sizes = k.groupBy("opening").agg(F.count("*").alias("size"))
     one = k.groupBy("n_s").agg(F.count("*").alias("k"), F.sum(F.col("wordless").cast("int")).alias("e")).agg(F.max(F.struct("k", (-F.col("n_s")).alias("neg"))).alias("b"), F.sum("e").alias("empties"))
     j = k.join(sizes, "opening").crossJoin(F.broadcast(one.select((-F.col("b.neg")).alias("mode"), "empties")))  # one row
-    j = materialise(j.select("id", "size", "wordless", "empties", (F.abs(F.col("n_s") - F.col("mode")) <= 1).alias("modal")), "tu")
-    near = nearest(w, j.where((F.col("size") <= 15) | (F.col("size") > 40) & ~F.col("modal")).select("id"), 0.72)
+    j = j.select("id", "bag", "size", "wordless", "empties", (F.abs(F.col("n_s") - F.col("mode")) <= 1).alias("modal"))
+    j = j.join(texts.select("bag", F.col("id").alias("rep"), "copies", "distance"), "bag", "left")
+    j = materialise(j.withColumn("distance", F.coalesce("distance", F.lit(1.0))), "tu")
+    queries = j.where("copies = 1").select("id", _cuts(F.col("size"), F.col("distance"), F.col("modal")).alias("mask")).where("mask > 0")
+    near = closeness.reached(texts, idfs, queries, CUTS)
     # two texts without words are equal
-    sim = F.when(F.col("wordless"), F.when(F.col("empties") > 1, 1.0).otherwise(0.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
-    all_of = j.join(centroid_distance(w, m), "id", "left").join(near, "id", "left")
-    return all_of.select("id", uniqueness_score(F.col("size"), F.coalesce("distance", F.lit(1.0)), sim, F.col("modal")).alias("score"))
+    sim = F.when(F.col("wordless"), F.when(F.col("empties") > 1, 1.0).otherwise(0.0)).when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0)))
+    return j.join(near, "id", "left").select("id", uniqueness_score(F.col("size"), F.col("distance"), sim, F.col("modal")).alias("score"))
