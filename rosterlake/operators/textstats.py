@@ -191,7 +191,7 @@ def uniqueness(df: DataFrame, id_col: str, text: str) -> DataFrame:
     k = m.select("id", opening_key(F.col("text")).alias("opening"), F.greatest(F.size(sentences(F.col("text"))), F.lit(1)).alias("n_s"), bag.alias("bag"), (F.size(words) == 0).alias("wordless"))
     k = materialise(k, "tk")
     bags = materialise(k.where(~F.col("wordless")).groupBy("bag").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "tb")
-    given = m.join(bags.withColumnRenamed("bag", "own"), "id").select("id", bag.alias("bag"), "own", "copies", words.alias("t")).where("bag = own")
+    given = m.join(bags, "id").select("id", "bag", "copies", words.alias("t"))
     texts, idfs = closeness.vectors(given, k.count())
     sizes = k.groupBy("opening").agg(F.count("*").alias("size"))
     one = k.groupBy("n_s").agg(F.count("*").alias("k"), F.sum(F.col("wordless").cast("int")).alias("e")).agg(F.max(F.struct("k", (-F.col("n_s")).alias("neg"))).alias("b"), F.sum("e").alias("empties"))
